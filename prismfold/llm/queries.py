@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismfold.llm import classifier, decontamination, extraction, jaccard_join, perplexity
+from prismfold.llm import classifier, decontamination, extraction, jaccard_join, perplexity, repeats
 from prismfold.llm.shared import read_table
 
 
@@ -29,6 +29,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.drop_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.digest(extraction.extract(pages))
@@ -39,5 +43,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_ngram_jaccard_join, op8_html_extraction, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_ngram_jaccard_join, op5_suffix_array_dedup, op8_html_extraction, op9_decontamination)}
 ORACLES: dict[str, str] = {}
