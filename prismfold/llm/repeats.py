@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts earlier.
 
 Routing. Of the k-byte strings inside every window of `length` bytes, one with the least hash is an anchor; two
-equal windows hold the same anchor at the same place. So every repeat shows up among the segments around equal
-anchors (all windows that hold the anchor), and no group needs more text than its segments. Anchors go through
+equal windows have the same anchor at the same place. So every repeat shows up among the segments of equal anchors
+(the windows that an anchor is the least of, which follow each other), and no group needs more text than those. Anchors go through
 one shuffle as hashes; each task first sets aside the segments that it has seen already, so that a passage with
 any number of copies reaches a task once per task. A segment that equals an earlier one is a repeat as a whole.
 
@@ -30,59 +30,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismfold.llm.hashing import BYTES, _tables, mix, window_hashes
-from prismfold.llm.shared import broadcast_if_small, materialize, raw_texts
+from prismfold.llm.shared import materialize, raw_texts
 
 ANCHOR = 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Anchors of a task that are compared with each other before they are sent.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Bytes of segments in one Burrows-Wheeler transform.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 HOT = 8_000
 LAST = (1 << 63) - 1
 
 
-def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
-    """op over every run of `width` values, by doubling."""
-    have, size = x, 1
-    while 2 * size <= width:
-        have = op(have[:-size], have[size:])
-        size *= 2
-    return op(have[: have.size - (width - size)], have[width - size :]) if width > size else have
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of every `width` values, the leftmost of equal ones, by doubling."""
+    value, place, size = x, np.arange(x.size, dtype=np.int32), 1
+    while size < width:
+        step = min(size, width - size)
+        count = value.size - step
+        right = value[step:] < value[:count]
+        value, place = np.where(right, value[step:], value[:count]), np.where(right, place[step:], place[:count])
+        size += step
+    return place
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of texts that lie end to end; every window within a text holds one."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """For texts that lie end to end: anchor hash, place in the first window, first window and number of windows.
+
+    Every window within a text belongs to one anchor; the windows of an anchor follow each other.
+    """
     np.seterr(over="ignore")
-    width = length - k + 1
     if data.size < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     h = window_hashes(data, k)
-    for end in ends[:-1]:  # strings across two texts
-        h[max(0, end - k + 1) : end] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = _sliding(np.minimum, h, width)  # by start of the window
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    chosen = np.flatnonzero((h == _sliding(np.maximum, padded, width)) & (h != np.uint64(0xFFFFFFFFFFFFFFFF)))
-    return chosen, h[chosen]
+    owner = _least(h, length - k + 1)
+    across = np.zeros(owner.size, bool)
+    for end in ends[:-1]:
+        across[max(0, end - length + 1) : end] = True
+    owner[across] = -1
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    count = np.diff(np.append(heads, owner.size))
+    real = owner[heads] >= 0
+    heads, count = heads[real], count[real]
+    at = owner[heads].astype(np.int64)
+    return h[at], at - heads, heads, count
 
 
 def _segments(values: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """For all anchors of some texts: text number, place, anchor hash, segment hash, segment start and end."""
+    """For all anchors of some texts: text number, anchor hash, segment hash and packed place.
+
+    A segment is the bytes of the windows of an anchor. Its place is packed as start << 16 | windows << 8 | offset
+    of the anchor.
+    """
     sizes = np.array([len(v) for v in values], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(values), np.uint8)
-    at, hashes = anchors(data, ends, length)
-    row = np.searchsorted(ends, at, "right")
-    long = sizes[row] >= length
-    at, hashes, row = at[long], hashes[long], row[long]
-    first = ends[row] - sizes[row]
-    start = np.maximum(first, at - (length - ANCHOR))
-    end = np.minimum(ends[row], at + length)
+    hashes, offset, start, count = anchors(data, ends, length)
+    row = np.searchsorted(ends, start, "right")
     power, inverse = _tables(data.size + 1)
     upto = np.zeros(data.size + 1, np.uint64)
     np.cumsum(BYTES[data] * power[: data.size], out=upto[1:], dtype=np.uint64)
-    segment = mix((upto[end] - upto[start]) * inverse[start] + ((at - start) * 1024 + (end - start)).astype(np.uint64))
-    return row, at - first, hashes, segment, start - first, end - first
+    shape = (count << 8) | offset
+    segment = mix((upto[start + count - 1 + length] - upto[start]) * inverse[start] + shape.astype(np.uint64))
+    return row, hashes, segment, ((start - ends[row] + sizes[row]) << 16) | shape
 
 
 def _merged(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -102,34 +112,36 @@ def _merged(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple
     return [k[heads] for k in keys], start[heads], reach[np.append(heads[1:], start.size) - 1]
 
 
-_ROWS = "anchor long, segment long, doc long, tie int, at int, start int, stop int, known boolean"
+_ROWS = "anchor long, segment long, doc long, tie int, place long"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each anchor and distinct segment that a task holds; repeats within the task as known intervals."""
+    """A row for each anchor and distinct segment that a task holds.
+
+    Repeats within the task are known already; they go as intervals under a number of their own, with the place
+    -1 - start and the end as segment.
+    """
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, segment, doc, tie, at, start, stop = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((at, doc, segment, anchor))
-        anchor, segment, doc, tie, at, start, stop = (c[order] for c in (anchor, segment, doc, tie, at, start, stop))
+        anchor, segment, doc, tie, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((place, doc, segment, anchor))
+        anchor, segment, doc, tie, place = (c[order] for c in (anchor, segment, doc, tie, place))
         head = np.ones(anchor.size, bool)
         head[1:] = (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])
         first = np.maximum.accumulate(np.where(head, np.arange(anchor.size), 0))
-        later = (doc > doc[first]) | ((doc == doc[first]) & (at > at[first]))
-        (d, t), a, b = _merged([doc[later], tie[later]], start[later].astype(np.int64), stop[later].astype(np.int64))
+        later = (doc > doc[first]) | ((doc == doc[first]) & (place > place[first]))
+        start = place[later] >> 16
+        (d, t), a, b = _merged([doc[later], tie[later]], start, start + ((place[later] >> 8) & 255) - 1 + length)
         sent = ~later
         number = mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
         columns = [
             np.concatenate([anchor[sent].view(np.int64), number]),
-            np.concatenate([segment[sent].view(np.int64), a]),
+            np.concatenate([segment[sent].view(np.int64), b]),
             np.concatenate([doc[sent], d]),
             np.concatenate([tie[sent], t]),
-            np.concatenate([at[sent], a.astype(np.int32)]),
-            np.concatenate([start[sent], a.astype(np.int32)]),
-            np.concatenate([stop[sent], b.astype(np.int32)]),
-            np.concatenate([np.zeros(int(sent.sum()), bool), np.ones(d.size, bool)]),
+            np.concatenate([place[sent], -1 - a]),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "doc", "tie", "at", "start", "stop", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "segment", "doc", "tie", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -142,9 +154,9 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     n += len(values[upto])
                     upto += 1
                 group = values[at:upto]
-                row, place, anchor, segment, start, stop = _segments(group, length)
+                row, anchor, segment, place = _segments(group, length)
                 tie = np.array([zlib.crc32(v) & 0x7FFFFFFF for v in group], np.int32)
-                held.append((anchor, segment, ids[at:upto][row].astype(np.int64), tie[row], *(c.astype(np.int32) for c in (place, start, stop))))
+                held.append((anchor, segment, ids[at:upto][row].astype(np.int64), tie[row], place))
                 size += row.size
                 at = upto
                 if size >= HELD:
@@ -168,7 +180,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key[: n - i] |= text[i:]
     done = _SYMBOLS
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if done >= depth:
             return order
         ordered = key[order]
@@ -179,45 +191,38 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         done *= 2
 
 
-def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of strings of `length` symbols without an end of segment that occur twice or more, and their classes.
+def common_prefixes(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of `length` symbols that occur twice or more, and their classes.
 
-    Breadth-first backward extension: level 1 has an interval for each symbol; the intervals of level l + 1 are
-    those of level l with a symbol put before, found through the transform. Intervals of one suffix are dropped.
+    `text` holds segments, each with `counts` windows and a 0 behind it. Breadth-first backward extension: level 1
+    has an interval for each symbol that ends a window; the intervals of level l + 1 are those of level l with a
+    symbol put before, found through the transform's mapping from a suffix to the one a symbol longer. Intervals of
+    one suffix are dropped.
     """
     order = suffix_order(text, length)
-    place = np.empty_like(order)
-    place[order] = np.arange(order.size)
-    before = place[order - 1]  # of the suffix one symbol longer; the first one wraps to an end of segment
-    head = text[order]  # first symbol of each suffix in order
-    transform = text[order - 1]
-    group = np.full(order.size, -1, np.int64)
-    rows = np.flatnonzero(head > 0)
-    group[rows] = head[rows]
-    rows = _shared(rows, group)
-    for _ in range(length - 1):
+    place = np.empty(order.size, np.int32)
+    place[order] = np.arange(order.size, dtype=np.int32)
+    longer = place[order - 1]
+    head = text[order].astype(np.int16)
+    last = np.repeat(starts + length - 1 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    marked, after = np.zeros(order.size, bool), np.empty(order.size, np.int32)
+    rows, group = place[last], np.zeros(last.size, np.int32)
+    for level in range(length):
+        if level:
+            rows = longer[rows]
+        marked[rows] = True
+        after[rows] = group
+        rows = np.flatnonzero(marked).astype(np.int32)
+        marked[rows] = False
+        a, h = after[rows], head[rows]
+        new = np.ones(rows.size + 1, bool)
+        new[1:-1] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
+        shared = ~(new[1:] & new[:-1])
+        group = np.cumsum(new[:-1], dtype=np.int32)[shared]
+        rows = rows[shared]
         if not rows.size:
             break
-        rows = rows[transform[rows] > 0]
-        longer = before[rows]
-        after = np.full(order.size, -1, np.int64)
-        after[longer] = group[rows]
-        longer = np.flatnonzero(after >= 0)
-        new = np.ones(longer.size, bool)
-        new[1:] = (after[longer[1:]] != after[longer[:-1]]) | (head[longer[1:]] != head[longer[:-1]])
-        group = np.full(order.size, -1, np.int64)
-        group[longer] = np.cumsum(new)
-        rows = _shared(longer, group)
-    return order[rows], group[rows]
-
-
-def _shared(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The rows whose interval has another."""
-    if not rows.size:
-        return rows
-    g = group[rows]
-    same = g[1:] == g[:-1]
-    return rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    return order[rows], group
 
 
 _INTERVAL = "doc long, tie int, start int, stop int"
@@ -231,12 +236,12 @@ def _interval_batch(keys: list[np.ndarray], start: np.ndarray, stop: np.ndarray)
 
 def _block_intervals(segments: list[tuple], length: int) -> pa.RecordBatch:
     """Repeats among the segments of whole anchors."""
-    parts, sizes = [np.zeros(1, np.int64)], [1]
-    for _, _, _, _, data in segments:
-        parts += [np.frombuffer(data, np.uint8).astype(np.int64) + 1, np.zeros(1, np.int64)]
-        sizes.append(len(data) + 1)
-    starts = np.cumsum(sizes)[:-1]
-    at, group = common_prefixes(np.concatenate(parts), length)
+    data = b"".join(s[4] for s in segments)
+    sizes = np.array([len(s[4]) for s in segments], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    text = np.zeros(len(data) + sizes.size, np.int16)
+    text[np.arange(len(data)) + np.repeat(np.arange(sizes.size), sizes)] = np.frombuffer(data, np.uint8).astype(np.int16) + 1
+    at, group = common_prefixes(text, starts, sizes - length + 1, length)
     number = np.searchsorted(starts, at, "right") - 1
     doc, tie, first = (np.array([s[i] for s in segments], np.int64) for i in (1, 2, 3))
     doc, tie, start = doc[number], tie[number], first[number] + at - starts[number]
@@ -296,19 +301,23 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc, tie (crc32 of the text, 31 bits) and runs: the merged byte ranges of a text that repeat an earlier start."""
     given = _keyed(docs, id_col, text_col)
     rows = _anchor_rows(given, length).repartition("anchor")
-    same = Window.partitionBy("anchor", "segment").orderBy("doc", "at")
+    start = F.shiftright("place", 16)
+    count = F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    same = Window.partitionBy("anchor", "segment").orderBy("doc", start)
     around = Window.partitionBy("anchor")
     ranked = rows.withColumn("rank", F.rank().over(same)).withColumn("segments", F.sum((F.col("rank") == 1).cast("long")).over(around))
     found = materialize(
-        ranked.filter("known or rank > 1 or segments > 1").select(
-            "anchor", "doc", "tie", "start", "stop", F.when(F.expr("known or rank > 1"), F.lit(None)).otherwise(F.col("segments")).alias("segments")
+        ranked.filter("place < 0 or rank > 1 or segments > 1").select(
+            "anchor",
+            "doc",
+            "tie",
+            F.expr("if(place < 0, -1 - place, shiftright(place, 16))").cast("int").alias("start"),
+            F.when(F.col("place") < 0, F.col("segment")).otherwise(start + count + (length - 1)).cast("int").alias("stop"),
+            F.expr("if(place < 0 or rank > 1, null, segments)").alias("segments"),
         ),
         "repeats-found",
     )
     asked = found.filter("segments is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "stop", "segments")).alias("asked"))
-    asked = materialize(asked.withColumn("width", F.size("asked")), "repeats-asked")
-    size = (asked.agg(F.sum("width")).first()[0] or 0) * 24
-    small = F.broadcast(asked) if size <= (32 << 20) else asked
     keyed = given.withColumn("tie", _tie())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +329,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor", "doc", "tie", "start", "bytes", "segments"])
 
-    segments = keyed.join(small.drop("width"), ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(cut, f"{_SEGMENT_ROWS}, segments long")
+    segments = keyed.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(cut, f"{_SEGMENT_ROWS}, segments long")
     segments = materialize(segments, "repeats-segments")
     blocks = segments.filter(F.col("segments") <= hot).repartition("anchor").sortWithinPartitions("anchor").drop("segments")
     intervals = found.filter("segments is null").select("doc", "tie", "start", "stop").unionByName(_expand(blocks, length))
@@ -336,9 +345,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of every row of `docs`."""
-    runs = materialize(find_repeats(docs, id_col=id_col, text_col=text_col, length=length, hot=hot).withColumn("width", F.size("runs")), "repeats-runs")
-    size = (runs.agg(F.sum("width")).first()[0] or 0) * 16
-    small = (F.broadcast(runs) if size <= (32 << 20) else runs).drop("width")
+    runs = find_repeats(docs, id_col=id_col, text_col=text_col, length=length, hot=hot)
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).withColumns({"doc": F.coalesce(F.col("id_").cast("long"), F.lit(LAST)), "tie": _tie()})
 
@@ -364,7 +371,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             columns = [batch.column("id_"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id_", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = given.join(small, ["doc", "tie"], "left").select("id_", "text", "runs")
+    joined = given.join(runs, ["doc", "tie"], "left").select("id_", "text", "runs")
     out = joined.mapInArrow(cut, f"id_ {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id_", id_col)
 
