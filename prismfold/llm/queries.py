@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismfold.llm import classifier, decontamination, extraction, jaccard_join, perplexity, repeats
+from prismfold.llm import classifier, decontamination, extraction, jaccard_join, licenses, line_dedup, packing, perplexity, personal_data, repeats
 from prismfold.llm.shared import read_table
 
 
@@ -25,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.digest(perplexity.judge(docs))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.digest(personal_data.find_personal_data(docs))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -33,6 +38,21 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.drop_repeats(read_table(spark, sf_dir, "documents")))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a thousand to a directory under their source, a hundred to one below; a document that opens
+    with a licence statement is the licence file of its directory."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    opens = F.coalesce(F.col("text").rlike(r"^[^\n]*(?i:licensed under|released under)"), F.lit(False))
+    name = F.when(opens, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
+    found = licenses.scan_licenses(docs.withColumn("path", path), id_col="doc_id", path_col="path", text_col="text")
+    return found
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.digest(extraction.extract(pages))
@@ -43,5 +63,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_ngram_jaccard_join, op5_suffix_array_dedup, op8_html_extraction, op9_decontamination)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.drop_lines(docs)
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return kept.select("doc_id", "lines_removed", n_lines.alias("lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_quality_rules,
+        op3_personal_data,
+        op4_ngram_jaccard_join,
+        op5_suffix_array_dedup,
+        op6_license_scans,
+        op7_best_fit_packing,
+        op8_html_extraction,
+        op9_decontamination,
+        op10_line_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
