@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from prismfold.llm.components import connected_components
 from prismfold.llm.hashing import gram_hashes, mix, word_hashes
+from prismfold.llm.list_join import link_in_lists
 from prismfold.llm.shared import broadcast_if_small, materialize, raw_texts
 
 BUCKET_BITS = 20
 SIGNATURE = 256
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 #: Bytes of text in one vectorised step.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def shingle_sets(values: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -169,9 +170,12 @@ def _overlap_bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
 
 def _verified(pairs: DataFrame, docs: DataFrame, profile: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    told = profile.filter("part is null").select("doc", F.col("n").alias("n_"), "signature").dropDuplicates(["doc"])
-    both = pairs.join(told.select(F.col("doc").alias("a"), F.col("n_").alias("n_a"), F.col("signature").alias("sig_a")), "a")
-    both = both.join(told.select(F.col("doc").alias("b"), F.col("n_").alias("n_b"), F.col("signature").alias("sig_b")), "b")
+    pairs = materialize(pairs, "jaccard-pairs")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-ends")
+    told = profile.filter("part is null").join(broadcast_if_small(ends, 16), "doc", "left_semi")
+    told = materialize(told.groupBy("doc").agg(F.max(F.struct("n", "signature")).alias("told")), "jaccard-told")
+    both = pairs.join(told.select(F.col("doc").alias("a"), F.col("told.n").alias("n_a"), F.col("told.signature").alias("sig_a")), "a")
+    both = both.join(told.select(F.col("doc").alias("b"), F.col("told.n").alias("n_b"), F.col("told.signature").alias("sig_b")), "b")
     near = materialize(both.mapInArrow(lambda it: _overlap_bound(it, percent), "a long, b long"), "jaccard-near")
     wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
 
@@ -197,26 +201,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, profile: DataFrame, n: int, per
     return materialize(both.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int, extra=None) -> DataFrame:
-    """Distinct pairs (a, b) of two sets of list entries that length and position allow."""
-    x = left.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), *([F.col("component").alias("cx")] if extra else []))
-    y = right.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), *([F.col("component").alias("cy")] if extra else []))
+def _candidates(left: DataFrame, right: DataFrame, percent: int, across) -> DataFrame:
+    """Pairs (x, y) of entries of one list that length and position allow."""
+    x = left.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"))
+    y = right.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"))
     fits = (
         (x["token"] == y["token"])
-        & (F.col("x") != F.col("y"))
+        & across(F.col("cx"), F.col("cy"))
         & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        # before this shingle they share min(ax, ay) at most
-        & (F.least("ax", "ay") + 1 + F.least(F.col("nx") - F.col("ax") - 1, F.col("ny") - F.col("ay") - 1) >= _needed(percent, F.col("nx"), F.col("ny")))
+        # the first shingle that they share, and those behind it, must be enough
+        & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= _needed(percent, F.col("nx"), F.col("ny")))
     )
-    if extra == "across":
-        fits = fits & (F.col("cx") < F.col("cy"))
-    elif extra == "differ":
-        fits = fits & (F.col("cx") != F.col("cy"))
-    pairs = x.join(y, fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.distinct()
+    return x.join(y, fits).select("x", "y", F.lit(1).alias("need"))
 
 
-def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 6, rest_factor: int = 4) -> DataFrame:
+def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 2, rest_factor: int = 4) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of `docs`.
 
     Sets of distinct `shingle`-word shingles link when 100 * intersection >= `percent` * union. Pairs across
@@ -236,33 +235,9 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         entries.withColumn("size", F.count("*").over(by_token)).filter("size > 1").select("token", "doc", "n", "at"),
         "jaccard-lists",
     )
-    support = lists.groupBy("doc").agg(F.count("*").alias("support"))
-    lists = lists.join(support, "doc").select("token", "doc", "n", "at", "support")
-
-    links = None
-    for turn in range(rounds + 1):
-        if links is None:
-            open_lists = materialize(lists.withColumn("component", F.col("doc")), "jaccard-open")
-        else:
-            known = connected_components(links, "a", "b", "jaccard-components")
-            now = lists.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            spread = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-            open_lists = materialize(now.join(spread, "token", "left_semi"), "jaccard-open")
-        size = open_lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        entries_left, pairs_left = size.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        if not entries_left:
-            break
-        last = turn == rounds or pairs_left <= rest_factor * entries_left
-        if last:
-            pairs = _candidates(open_lists, open_lists, percent, "across")
-        else:  # the pivot of a list: its member in most lists; later, the one of a component dealt by turns
-            chosen = F.max_by(F.struct("doc", "n", "at", "component"), F.struct(F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(1 if turn == 0 else 1 << 20)), "support", -F.col("doc")))
-            pivots = open_lists.groupBy("token").agg(chosen.alias("p")).select("token", "p.*")
-            pairs = _candidates(pivots, open_lists, percent, "differ")
-        found = _verified(pairs, given, profile, shingle, percent)
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
+    links = link_in_lists(
+        lists, lambda left, right, across: _candidates(left, right, percent, across), lambda pairs: _verified(pairs, given, profile, shingle, percent), "jaccard", rounds, rest_factor
+    )
 
     members = profile.filter("part is null").select("doc", "n", "d1", "d2")
     groups = members.filter("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("first"))
@@ -273,7 +248,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         known = connected_components(links.unionByName(copies), "a", "b", "jaccard-components")
     else:
         known = connected_components(joined.filter("first is not null").select(F.col("doc").alias("a"), F.col("first").alias("b")), "a", "b", "jaccard-components")
-    out = members.join(known.withColumnRenamed("id", "doc"), "doc", "left")
+    out = members.join(known, members["doc"] == known["id"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
