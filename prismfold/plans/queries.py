@@ -249,9 +249,9 @@ def _exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.infer_exposures(S.reports(spark, sf_dir), S.holdings(spark, sf_dir))
 
 
-@_query(_EXPOSURES + "SELECT fund_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, exposure_type, count(*) AS n, sum(exposure::DECIMAL(28,3))::DOUBLE AS exposure, round(max(exposure), 2) AS largest FROM exposures GROUP BY 1, 2, 3")
+@_query(_EXPOSURES + "SELECT fund_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, exposure_type, count(*) AS n, round(sum(exposure::DECIMAL(28,8)), 2)::DOUBLE AS exposure, round(max(exposure), 2) AS largest FROM exposures GROUP BY 1, 2, 3")
 def exposure_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _exposures(spark, sf_dir).groupBy("fund_id", "as_of_date", "exposure_type").agg(F.count("*").alias("n"), F.sum(F.col("exposure").cast("decimal(28,3)")).cast("double").alias("exposure"), F.round(F.max("exposure"), 2).alias("largest"))
+    sums = _exposures(spark, sf_dir).groupBy("fund_id", "as_of_date", "exposure_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("exposure").cast("decimal(28,8)")), 2).cast("double").alias("exposure"), F.round(F.max("exposure"), 2).alias("largest"))
     return sums.withColumn("as_of_date", _day("as_of_date"))
 
 
@@ -271,12 +271,12 @@ def lp_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(""", q AS (SELECT h.*, source, sum(value) OVER (PARTITION BY fund_id, as_of_date)::DOUBLE AS total FROM holdings h JOIN dim_fund USING (fund_id) WHERE value > 0),
 n AS (SELECT fund_id, as_of_date, CASE WHEN fund_id % 2 = 0 THEN 1000000.0 END AS nav, CASE WHEN fund_id % 4 = 0 THEN 0.0 ELSE 25000000.0 END AS net FROM reports),
 s AS (SELECT q.*, CASE WHEN source = 'pdf_document' THEN nullif(nav, 0) ELSE total * 0.05 END AS lp_nav, CASE WHEN source = 'pdf_document' THEN coalesce(nullif(net, 0), total) ELSE total END AS base FROM q JOIN n USING (fund_id, as_of_date))
-SELECT fund_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, count(*) AS n, round(max(lp_nav), 4) AS lp_nav, sum((lp_nav * (value::DOUBLE / base))::DECIMAL(28,3))::DOUBLE AS scaled FROM s WHERE lp_nav IS NOT NULL GROUP BY 1, 2""")
+SELECT fund_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, count(*) AS n, round(max(lp_nav), 4) AS lp_nav, round(sum((lp_nav * (value::DOUBLE / base))::DECIMAL(28,8)), 2)::DOUBLE AS scaled FROM s WHERE lp_nav IS NOT NULL GROUP BY 1, 2""")
 def lp_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     fund = S.dim_fund(spark, sf_dir).select("fund_id", "fund_name", "source")
     told = S.reports(spark, sf_dir).select("fund_id", "as_of_date", F.when(F.col("fund_id") % 2 == 0, 1_000_000.0).alias("nav"), F.when(F.col("fund_id") % 4 == 0, 0.0).otherwise(25_000_000.0).alias("net_assets"))
     rows = E.scale_to_investor(S.holdings(spark, sf_dir).join(F.broadcast(fund), "fund_id"), told, {})
-    return rows.groupBy("fund_id", "as_of_date").agg(F.count("*").alias("n"), F.round(F.max("lp_nav"), 4).alias("lp_nav"), F.sum(F.col("scaled").cast("decimal(28,3)")).cast("double").alias("scaled")).withColumn("as_of_date", _day("as_of_date"))
+    return rows.groupBy("fund_id", "as_of_date").agg(F.count("*").alias("n"), F.round(F.max("lp_nav"), 4).alias("lp_nav"), F.round(F.sum(F.col("scaled").cast("decimal(28,8)")), 2).cast("double").alias("scaled")).withColumn("as_of_date", _day("as_of_date"))
 
 
 _RESOLVED = """, resolved AS (

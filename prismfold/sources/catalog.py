@@ -27,7 +27,7 @@ class Catalog:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, name: str):
-        return self._path(f"{self.path}/{name}/_current")
+        return self._path(f"{self.path}/{name}/CURRENT")
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._pointer(name))
@@ -50,7 +50,7 @@ class Catalog:
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         version = uuid.uuid4().hex
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.path}/{name}/{version}")
-        new = self._path(f"{self.path}/{name}/_next-{version}")
+        new = self._path(f"{self.path}/{name}/NEXT-{version}")
         out = self._fs.create(new, True)
         out.writeBytes(version)
         out.close()
