@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismfold.llm import classifier, decontamination, extraction, jaccard_join, licenses, line_dedup, packing, perplexity, personal_data, repeats
+from prismfold.llm import classifier, decontamination, extraction, jaccard_join, licenses, line_dedup, oracles, packing, perplexity, personal_data, repeats
 from prismfold.llm.shared import read_table
 
 
@@ -85,4 +85,4 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
