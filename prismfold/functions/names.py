@@ -35,8 +35,7 @@ def first_entity(name: Column) -> Column:
     by_suffix = F.regexp_extract(name, r"(?is)^(.*?(?:inc|llc|lp|l\.p\.|corp|corporation|ltd|limited))\s*,", 1)
     cut = F.trim(F.substring_index(F.regexp_replace(name, "(?i) and ", "\x01"), "\x01", 1))
     joined = F.lower(name).contains(" and ") & (F.length(cut) >= 3)
-    suffix_cut = F.trim(F.regexp_replace(by_suffix, r"(?is)\s*$", ""))
-    return F.when(by_suffix != "", suffix_cut).when(joined, cut).otherwise(name)
+    return F.when(by_suffix != "", F.trim(by_suffix)).when(joined, cut).otherwise(name)
 
 
 def md5_uuid(text: Column) -> Column:
