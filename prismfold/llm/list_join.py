@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismfold.llm.components import connected_components
-from prismfold.llm.shared import drop_materialized, materialize
+from prismfold.llm.shared import drop_materialized, materialize, release
 
 
 def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int, native: bool = False, exhaust: bool = True) -> DataFrame | None:
@@ -58,6 +58,7 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
             pairs = pairs.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("shared", "x")).alias("a")).select("a", "b")
         found = verify(pairs)
         drop_materialized(now)
+        release(lists.sparkSession)
         links = found if links is None else links.unionByName(found)
         if last:
             break
