@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismfold.llm.shared import raw_texts
+from prismfold.llm.shared import raw_texts, text_batches
 
 PER_CLASS = 1200
 MAX_CHARS = 20_000
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Classifier, *, text_col: str = "text") -> DataFrame:
     """The rows and columns of `docs` and the column quality_score; a column of that name is replaced."""
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c != "quality_score"]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismfold.llm.shared import raw_texts
+from prismfold.llm.shared import raw_texts, text_batches
 
 #: Benchmark text that one pass over the documents holds on each executor; more text makes more passes.
 BLOCK_BYTES = 16 << 20
@@ -148,6 +148,7 @@ def find_contamination(
     The benchmark is measured first; it is taken in blocks of about `block_bytes` of text, one pass each, so what
     an executor holds is bounded. No text is shuffled.
     """
+    text_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

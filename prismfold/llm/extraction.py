@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismfold.llm.shared import texts
+from prismfold.llm.shared import text_batches, texts
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -211,6 +211,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", sigma: float = 1.0, thr
             found = [main_text(h, sigma, threshold) for h in texts(batch, html_col)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(found, pa.string())], names=[*carried, "main_text"])
 
+    text_batches(pages.sparkSession)
     given = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != html_col)
     return given.mapInArrow(run, f"{schema}, main_text string")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from prismfold.llm.components import connected_components
 from prismfold.llm.hashing import gram_hashes, mix, word_hashes
 from prismfold.llm.list_join import link_in_lists
-from prismfold.llm.shared import broadcast_if_small, materialize, raw_texts
+from prismfold.llm.shared import broadcast_if_small, materialize, raw_texts, text_batches
 
 BUCKET_BITS = 20
 SIGNATURE = 256
@@ -224,6 +224,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     given = docs.filter("doc is not null")
     spark = docs.sparkSession
+    text_batches(spark)
     profile = materialize(_profile(docs, shingle), "jaccard-profile")
     rarity = spark.sparkContext.broadcast(_rarity(profile))
 

@@ -20,7 +20,6 @@ keep all of theirs.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismfold.llm.hashing import BYTES, _tables, mix, window_hashes
-from prismfold.llm.shared import materialize, raw_texts
+from prismfold.llm.shared import materialize, raw_texts, text_batches
 
 ANCHOR = 32
 CHUNK = 1 << 20
@@ -299,6 +298,7 @@ def _tie():
 
 def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
     """doc, tie (crc32 of the text, 31 bits) and runs: the merged byte ranges of a text that repeat an earlier start."""
+    text_batches(docs.sparkSession)
     given = _keyed(docs, id_col, text_col)
     rows = _anchor_rows(given, length).repartition("anchor")
     start = F.shiftright("place", 16)
@@ -378,7 +378,3 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def kept_digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
