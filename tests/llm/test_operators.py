@@ -1,6 +1,7 @@
 """Every operator of documents against a brute-force version, on awkward rows, empty tables and the smallest data."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -377,3 +378,35 @@ def test_line_recall(spark, sf_dir):
     assert found >= 0.95 * len(pairs)
     parents = {k for p in pairs for k in p}
     assert gone <= parents
+
+
+def one_changed(line, at, to):
+    return line[:at] + to + line[at + 1 :]
+
+
+def test_lines_meet_by_any_shingle(spark):
+    """Lines of one script without spaces, or with their first character changed, meet their copy."""
+    r = random.Random(5)
+    alphabets = [[chr(c) for c in range(0x4E00, 0x4F00)], [chr(c) for c in range(0x621, 0x64B)], [chr(c) for c in range(97, 123)]]
+    lines = ["".join(r.choice(letters) for _ in range(60)) for letters in alphabets for _ in range(60)]
+    rows = [(2 * i + k, t) for i, line in enumerate(lines) for k, t in enumerate((line, one_changed(line, 0, "#")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed}
+    assert removed == {2 * i + 1 for i in range(len(lines))}
+
+
+def test_line_bands_recall_at_the_threshold(spark):
+    """Pairs of short and of longer lines just at 0.8 are found in at least 99 of 100 cases."""
+    r = random.Random(6)
+    rows = []
+    for i in range(1500):
+        size = (27, 49, 94)[i % 3]  # 23, 45 and 90 shingles, of which the changes touch 2, 5 and 10
+        other = line = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(size))
+        for at in ((1,), (20,), (20, 60))[i % 3]:
+            other = one_changed(other, at, "#")
+        rows += [(2 * i, line), (2 * i + 1, other)]
+    sets = [{t[j : j + 5] for j in range(len(t) - 4)} for _, t in rows]
+    wanted = {2 * i + 1 for i in range(1500) if 180 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * (len(sets[2 * i]) + len(sets[2 * i + 1])) and sets[2 * i] != sets[2 * i + 1]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed}
+    assert len(wanted) == 1500 and removed <= wanted and len(removed) >= 0.99 * len(wanted)
