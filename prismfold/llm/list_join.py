@@ -17,13 +17,12 @@ from prismfold.llm.components import connected_components
 from prismfold.llm.shared import drop_materialized, materialize, release
 
 
-def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int, native: bool = False, exhaust: bool = True) -> DataFrame | None:
+def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int, native: bool = False) -> DataFrame | None:
     """The links (a, b) found; None if no list has two items.
 
     `lists` has token, doc and what else `candidates(left, right, across)` needs, which returns pairs (x of left,
     y of right) of entries of one list whose components satisfy `across`, repeats included, and `need`, in how many
-    lists a pair must meet at least if it is to link. Without `exhaust`, what is left after the last round is joined only
-    if it is few pairs. `verify(pairs)` returns those that link, materialized.
+    lists a pair must meet at least if it is to link. `verify(pairs)` returns those that link, materialized.
     """
     support = lists.groupBy("doc").agg(F.count("*").alias("support"))
     lists = materialize(lists.join(support, "doc"), f"{label}-lists")
@@ -43,8 +42,6 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
         if not entries:
             break
         last = turn == rounds or pairs_left <= rest_factor * entries
-        if turn == rounds and not exhaust and pairs_left > rest_factor * entries:
-            break
         if last:
             pairs = candidates(now, now, lambda x, y: x < y)
             pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need")

@@ -410,3 +410,17 @@ def test_line_bands_recall_at_the_threshold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed}
     assert len(wanted) == 1500 and removed <= wanted and len(removed) >= 0.99 * len(wanted)
+
+
+@pytest.mark.parametrize("rounds, factor", [(0, 0), (1, 0), (3, 4)])
+def test_lines_of_hot_lists_lose_no_link(spark, rounds, factor):
+    """Groups of near copies that share a long opening, more pairs than the rounds compare."""
+    r = random.Random(7)
+    word = lambda n: "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(n))
+    opening, rows = word(150), []
+    for group in range(40):
+        line = opening + word(45)  # two groups have a similarity of 0.61
+        rows += [(3 * group + k, one_changed(line, 160 + 12 * k, "#")) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {x.doc_id for x in line_dedup.drop_lines(docs, rounds=rounds, rest_factor=factor).collect() if x.lines_removed}
+    assert removed == {i for i in range(120) if i % 3}
