@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A file's passages are its lines that name a licence, anywhere in the file; of a file called LICENSE, COPYING or
-NOTICE every line counts. Passages and templates are bags of words. A word's weight is its count times the inverse
+A file's passages are its lines that name a licence, anywhere in the file; a file called LICENSE, COPYING or
+NOTICE has its whole text as a second passage, and the better match of the two counts. Passages and templates are bags of words. A word's weight is its count times the inverse
 document frequency, counted by Spark over all passages and the templates; the cosine is the sum over the words that
 a passage shares with a template (one equi-join on the word) over the two norms. The best template at or above
 `min_cosine` is the file's own licence. A file without one takes that of its nearest ancestor directory which holds
@@ -78,13 +78,18 @@ def scan_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str
     text = F.col(text_col)
     is_file = F.coalesce(F.col(path_col).rlike(_FILES), F.lit(False))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(_NAMES))
-    passage = F.when(is_file, text).when(text.rlike(_NAMES), F.array_join(lines, "\n"))
+    naming = F.when(text.rlike(_NAMES), F.array_join(lines, "\n"))
     # equal passages are matched once: repeated headers cost nothing more
-    told = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), is_file.alias("is_file"), F.nullif(passage, F.lit("")).alias("passage"))
-    told = materialize(told.withColumn("key", F.md5("passage")), "license-files")
-    distinct = told.filter("key is not null").groupBy("key").agg(F.min("passage").alias("text"))
+    told = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), is_file.alias("is_file"), F.nullif(naming, F.lit("")).alias("naming"), F.when(is_file, F.nullif(text, F.lit(""))).alias("whole"))
+    told = materialize(told.withColumns({"key": F.md5("naming"), "whole_key": F.md5("whole")}), "license-files")
+    passages = told.select("key", F.col("naming").alias("text")).unionByName(told.select(F.col("whole_key").alias("key"), F.col("whole").alias("text")))
+    distinct = passages.filter("key is not null").groupBy("key").agg(F.min("text").alias("text"))
     matched = materialize(match_templates(distinct, templates).filter(F.col("cosine") >= min_cosine), "license-matched")
-    own = told.join(broadcast_if_small(matched, 80), "key", "left").withColumn("directory", _directory(F.col("path")))
+    matched = broadcast_if_small(matched, 80)
+    best = F.least(*[F.when(F.col(f"{m}.license").isNotNull(), F.struct((-F.col(f"{m}.cosine")).alias("c"), F.col(f"{m}.license").alias("license"))) for m in ("m", "w")])
+    both = told.join(matched.alias("m"), F.col("m.key") == told["key"], "left").join(matched.alias("w"), F.col("w.key") == told["whole_key"], "left")
+    told = both.select(told["id"], told["path"], told["is_file"], best.alias("best")).select("id", "path", "is_file", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
+    own = told.withColumn("directory", _directory(F.col("path")))
     held = own.filter("is_file and license is not null").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("best"))
     held = materialize(held.select("directory", F.col("best.license").alias("inherited")), "license-directories")
     places = materialize(own.filter("license is null and path is not null").select("directory").distinct(), "license-places")

@@ -39,11 +39,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a thousand to a directory under their source, a hundred to one below; a document that opens
-    with a licence statement is the licence file of its directory."""
+    """Documents as files: a thousand to a directory under their source, a hundred to one below; a document with a
+    licence statement, wherever it stands, is a licence file of its directory."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    opens = F.coalesce(F.col("text").rlike(r"^[^\n]*(?i:licensed under|released under)"), F.lit(False))
-    name = F.when(opens, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    states = F.coalesce(F.col("text").rlike(r"(?i)licen[cs]ed under|released under"), F.lit(False))
+    name = F.when(states, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
     found = licenses.scan_licenses(docs.withColumn("path", path), id_col="doc_id", path_col="path", text_col="text")
     return found

@@ -424,3 +424,13 @@ def test_lines_of_hot_lists_lose_no_link(spark, rounds, factor):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = {x.doc_id for x in line_dedup.drop_lines(docs, rounds=rounds, rest_factor=factor).collect() if x.lines_removed}
     assert removed == {i for i in range(120) if i % 3}
+
+
+def test_licence_query_inherits_by_directory(spark, sf_dir):
+    """A licence statement at the end of a document gives its directory a licence, by that passage alone."""
+    rows = QUERIES["op6_license_scans"](spark, sf_dir).collect()
+    held = {r.path.rsplit("/", 1)[0] for r in rows if r.own_license and "/LICENSE." in r.path}
+    stated = read_table(spark, sf_dir, "documents").filter("text rlike '(?i)licensed under|released under'").count()
+    assert stated and sum(r.own_license is not None for r in rows) >= stated
+    assert held and {r.doc_id for r in rows if r.origin == "directory"} == {r.doc_id for r in rows if r.own_license is None and r.path.rsplit("/", 1)[0] in held}
+    assert any(r.origin == "directory" for r in rows)
