@@ -3,7 +3,9 @@
 A list holds the items that share a token. A round joins each list to one pivot and verifies one pair of each
 item; links close to components. Items of one component need no more comparison among themselves, so only
 lists that still hold two components go on. When the pairs across components are few, or after the last round,
-they are joined in full: every pair in a list is verified or lies within a component, so no component is split.
+they are joined in blocks: a list is cut by hash into blocks of about BLOCK members, and each pair of blocks is dealt
+out by itself, so that no task takes a whole hot list. Every pair in a list is verified or lies within a component, so
+no component is split.
 """
 
 from __future__ import annotations
@@ -14,10 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismfold.llm.components import connected_components
-from prismfold.llm.shared import drop_materialized, materialize, release
+from prismfold.llm.shared import broadcast_if_small, drop_materialized, materialize
 
+#: Members of a block of the last join.
+BLOCK = 1000
 
-def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int, native: bool = False) -> DataFrame | None:
+
+def _blocks(now: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the last join: the tokens of lists over BLOCK members become one for each pair of blocks.
+
+    Equal new tokens of unlike lists would only bring pairs that are verified in vain.
+    """
+    hot = now.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    hot = materialize(hot, f"{label}-hot")
+    dealt = now.join(broadcast_if_small(hot, 16), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = []
+    for first, second in (("own", "other"), ("other", "own")):
+        token = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", first, second))
+        sides.append(every.withColumn("token", token).drop("blocks", "own", "other"))
+    return sides[0], sides[1]
+
+
+def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int) -> DataFrame | None:
     """The links (a, b) found; None if no list has two items.
 
     `lists` has token, doc and what else `candidates(left, right, across)` needs, which returns pairs (x of left,
@@ -30,7 +52,7 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
     for turn in range(rounds + 1):
         now = lists
         if links is not None:
-            known = connected_components(links, "a", "b", f"{label}-components", native)
+            known = connected_components(links, "a", "b", f"{label}-components")
             now = now.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
             spread = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
             now = now.join(spread, "token", "left_semi")
@@ -43,7 +65,7 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
             break
         last = turn == rounds or pairs_left <= rest_factor * entries
         if last:
-            pairs = candidates(now, now, lambda x, y: x < y)
+            pairs = candidates(*_blocks(now, label), lambda x, y: x < y)
             pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:  # first the item in most lists; later, the one of a component dealt by turns
@@ -55,7 +77,6 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
             pairs = pairs.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("shared", "x")).alias("a")).select("a", "b")
         found = verify(pairs)
         drop_materialized(now)
-        release(lists.sparkSession)
         links = found if links is None else links.unionByName(found)
         if last:
             break

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,6 +15,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when its measured size is below this.
 BROADCAST_BYTES = 32 << 20
 
+#: Whether Spark deletes a query's shuffle files when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,11 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The job's shuffle files go when it is written, the table's when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    try:
+        spark.conf.set(_CLEAN_UP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -63,10 +70,15 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of jobs that are over, rather than when memory happens to run low."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names with as many underscores behind as keep them apart from `columns`."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int | str, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -354,17 +354,48 @@ def test_lines_keep_one_of_each_component(spark):
     for r in line_dedup.drop_lines(docs).collect():
         got[r.doc_id].append((r.text, r.lines_removed))
     assert got[1] == [(rows[0][1], 0)] and got[2] == [(prose(22, 40), 1)] * 2 and got[3] == [("", 1)]
-    assert got[4] == [(None, 0)] and got[5] == [("", 0)] and got[6] == [("short\nshort", 0)] and got[7] == [("\n" + prose(23, 30), 1)] and got[None] == [(line, 0)]
+    assert got[4] == [(None, 0)] and got[5] == [("", 0)] and got[6] == [("", 2)] and got[7] == [("\n" + prose(23, 30), 1)] and got[None] == [(line, 0)]
     kept = line_dedup.keep_lines(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 6, 7, None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 7, None}
     assert line_dedup.drop_lines(empty(spark)).count() == 0
     assert line_dedup.drop_lines(documents(spark)).count() == documents(spark).count()
 
 
+def test_shingles_and_signatures_of_lines():
+    """Sizes, intersections and signatures against plain sets, for short lines, other scripts and a very long line."""
+    long_line = prose(41, 30_000)
+    lines = ["a", "abcd", "abcde", "数据集合并" * 7, "\U0001f600 mixed é ok " * 5, long_line, long_line[:-9] + "changed!!", prose(42, 9)]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in lines]
+    for i, x in enumerate(sets):
+        common, union = line_dedup.common_shingles([lines[i]] * len(lines), lines)
+        assert common.tolist() == [len(x & y) for y in sets] and union.tolist() == [len(x | y) for y in sets]
+    whole = line_dedup.signatures(lines)
+    assert (whole[5] == whole[6]).any() and not (whole[3] == whole[4]).any()
+    assert (whole == np.concatenate([line_dedup.signatures([t]) for t in lines])).all()
+
+
+def test_hot_opening_keeps_recall(spark):
+    """200 pairs of near-equal lines that share their first 23 characters: every pair in one component."""
+    r = random.Random(8)
+    rows = []
+    for i in range(200):
+        line = "The very same opening: " + "".join(r.choice("abcdefghijklmnop ") for _ in range(150))
+        rows += [(2 * i, line), (2 * i + 1, one_changed(line, 90, "#"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed}
+    assert removed == {2 * i + 1 for i in range(200)}
+
+
+def test_lines_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "same line", 5, [1], 7, 8), (2, "same line", 6, None, 7, 8)], "doc_id long, text string, doc_ int, gone array<int>, tie int, LINES long")
+    out = {r.doc_id: r.asDict() for r in line_dedup.drop_lines(docs).collect()}
+    assert out[2] == {"doc_id": 2, "text": "", "doc_": 6, "gone": None, "tie": 7, "LINES": 8, "lines_removed": 1} and out[1]["text"] == "same line" and out[1]["gone"] == [1]
+
+
 def test_line_recall(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    lines = {(r.doc_id, i): t for r in docs.collect() for i, t in enumerate(r.text.split("\n")) if len(t) >= line_dedup.MIN_CHARS}
-    sets = {k: frozenset(t[i : i + 5] for i in range(len(t) - 4)) for k, t in lines.items()}
+    lines = {(r.doc_id, i): t for r in docs.collect() for i, t in enumerate(r.text.split("\n")) if WORD.search(t)}
+    sets = {k: frozenset(t[i : i + 5] for i in range(max(1, len(t) - 4))) for k, t in lines.items()}
     index, pairs = defaultdict(list), set()
     common = Counter(g for s in sets.values() for g in s)
     for k, s in sets.items():
@@ -373,11 +404,10 @@ def test_line_recall(spark, sf_dir):
         pairs |= {(c, k) for c in near}
         for g in rare:
             index[g].append(k)
-    gone = {(r.doc, r["at"]) for r in line_dedup.line_components(docs).collect() if (r.doc, r["at"]) != (r.first_doc, r.first_at)}
-    found = sum(a in gone or b in gone for a, b in pairs)
+    told = {(r.doc, r["at"]): (r.first_doc, r.first_at) for r in line_dedup.line_components(docs).collect()}
+    found = sum(told.get(a, a) == told.get(b, b) for a, b in pairs)  # both lines in one component
     assert found >= 0.95 * len(pairs)
-    parents = {k for p in pairs for k in p}
-    assert gone <= parents
+    assert told.keys() <= {k for p in pairs for k in p}
 
 
 def one_changed(line, at, to):
