@@ -22,7 +22,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return perplexity.digest(perplexity.judge(docs))
+    return perplexity.digest(perplexity.judge(docs, keep_text=False))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.coalesce(F.col("text").rlike(r"(?i)licen[cs]ed under|released under"), F.lit(False))
     name = F.when(states, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
-    found = licenses.scan_licenses(docs.withColumn("path", path), id_col="doc_id", path_col="path", text_col="text")
-    return found
+    found = licenses.scan_licenses(docs.withColumn("path", path), path_col="path", text_col="text")
+    return found.drop("source")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
