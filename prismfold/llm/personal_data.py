@@ -1,15 +1,18 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the matches of four base patterns (e-mail, IP address, card and phone number) that pass their checks.
-Every token with a digit is an instance; the word before it is a lexical pattern. Patterns and instances form a
-graph over the whole corpus, which is scored in turns: a pattern's confidence is the mean score of its distinct
-instances, shrunk towards 0 by `prior` and 0 below `min_seeds` distinct seeds; an instance that is no seed scores
-one minus the product of (1 - confidence) over its patterns. After `turns` turns, tokens of unseen instances that
-follow a pattern of confidence `min_confidence` or more become spans of kind "id", if they have `min_digits` digits
-and `min_size` code points at least.
+Every token with a digit or an @ is an instance; its lexical patterns are the word before it, the two words before it
+and the word behind it. Patterns and instances form a graph over the whole corpus, which is scored in turns: a
+pattern's confidence is the sum of the scores of its distinct instances over what it extracts: those instances, all
+other uses of its words in the corpus (counted over every text) and `prior`; it is 0 while that sum is below
+`min_support`. An instance that is no seed scores one minus the product of (1 - confidence) over its patterns, so that
+instances found in one turn support new patterns in the next. After `turns` turns, tokens of unseen instances in a
+pattern of confidence `min_confidence` or more become spans of kind "id", if they have `min_digits` digits and
+`min_size` code points at least.
 
 Positions are code points, ends exclusive. Defined cases: null text counts as empty; repeated rows each give their
-row; base spans of different kinds may overlap; a found token never overlaps a base span.
+row; base spans of different kinds may overlap; a found token never overlaps a base span; texts and words are whole,
+however long; columns of `docs` may have any name (base and spans are replaced).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismfold.llm.shared import broadcast_if_small, materialize
+from prismfold.llm.shared import broadcast_if_small, free_names, materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
 
@@ -27,7 +30,8 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_BLANK = "\t\n\x0b\x0c\r"
 _PART = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})$"
 
 
@@ -44,10 +48,23 @@ def _upto(widths: Column, i: Column, block: Column, sums: Column) -> Column:
     return F.aggregate(F.slice(sums, F.lit(1), full), F.lit(0), add) + F.aggregate(rest, F.lit(0), add)
 
 
-def _matches(text: Column, pattern: str, seen: Column) -> Column:
-    """array<struct<start, end, match, before>> of a pattern's matches, from the matches and the pieces between.
+def _spaced(text: Column) -> Column:
+    return F.translate(text, _BLANK, " " * len(_BLANK))
 
-    `before` is the end of the piece before a match. Where `seen` is false there is none, and no search.
+
+def _contexts(before: Column, behind: Column) -> Column:
+    """array<string>: the patterns of a token between two pieces without tokens; words in lower case."""
+    before, behind = F.rtrim(_spaced(before)), F.ltrim(_spaced(F.coalesce(behind, F.lit(""))))
+    one, two, after = F.substring_index(before, " ", -1), F.substring_index(before, " ", -2), F.substring_index(behind, " ", 1)
+    pair = F.when(two.rlike("^[^ ]+ [^ ]+$"), F.concat(two, F.lit(" _")))
+    found = F.array(F.when(one != "", F.concat(one, F.lit(" _"))), pair, F.when(after != "", F.concat(F.lit("_ "), after)))
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), F.lower)
+
+
+def _matches(text: Column, pattern: str, seen: Column, contexts: bool = False) -> Column:
+    """array<struct<start, end, match, patterns>> of a pattern's matches, from the matches and the pieces between.
+
+    `patterns` are empty unless `contexts`. Where `seen` is false there is no match, and no search.
     """
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
@@ -64,11 +81,12 @@ def _matches(text: Column, pattern: str, seen: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             piece = F.get(r["p"], i)
             start = _upto(r["w"], i, r["b"], r["s"]) + F.length(piece)
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.right(piece, F.lit(60)).alias("before"))
+            patterns = _contexts(piece, F.get(r["p"], i + 1)) if contexts else F.array().cast("array<string>")
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), patterns.alias("patterns"))
 
         return F.when(F.size(r["m"]) > 0, F.transform(r["m"], one))
 
-    kind = "array<struct<start:int,end:int,match:string,before:string>>"
+    kind = "array<struct<start:int,end:int,match:string,patterns:array<string>>>"
     return F.coalesce(F.when(seen, _bound(found, placed)), F.array()).cast(kind)
 
 
@@ -109,42 +127,65 @@ def _spans(found: Column, number: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The columns of `docs` but the text, a row number, base spans (start, kind number, end) in order, and tokens
-    (start, end, match, pattern, seed) that hold a digit."""
-    carried = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("text_"))
-    base = _base(F.col("text_"))
-    with_base = given.select(
-        *[F.col(f"`{c}`") for c in carried],
-        F.array_sort(F.concat(*[_spans(base[k], i) for i, k in enumerate(KINDS[:4])])).alias("base_"),
-        _matches(F.col("text_"), _TOKEN, F.col("text_").rlike("[0-9]")).alias("tokens_"),
+def scan(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """The columns of `docs` but the text, and the names of three more: a row number, base spans (start, kind number,
+    end) in order, and tokens (start, end, match, patterns, seed) that hold a digit or an @."""
+    carried = [c for c in docs.columns if c not in (text_col, "base", "spans")]
+    names = free_names([*carried, "spans"], "text", "row", "base", "tokens")
+    given, row, spans, found = names
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kept = [F.col(f"`{c}`") for c in carried]
+    base = _base(F.col(given))
+    with_base = docs.select(*kept, text.alias(given)).select(
+        *kept,
+        F.array_sort(F.concat(*[_spans(base[k], i) for i, k in enumerate(KINDS[:4])])).alias(spans),
+        _matches(F.col(given), _TOKEN, F.col(given).rlike("[0-9@]"), contexts=True).alias(found),
     )
-    word = r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
     token = lambda t: F.struct(
-        t["start"].alias("start"),
-        t["end"].alias("end"),
-        t["match"].alias("match"),
-        F.lower(F.regexp_extract(t["before"], word, 1)).alias("pattern"),
-        F.exists("base_", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed"),
+        *[t[c].alias(c) for c in ("start", "end", "match", "patterns")],
+        F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed"),
     )
-    return with_base.select(*[F.col(f"`{c}`") for c in carried], F.monotonically_increasing_id().alias("row_"), "base_", F.transform("tokens_", token).alias("tokens_"))
-
-
-def score_patterns(tokens: DataFrame, *, turns: int = 3, min_seeds: int = 3, prior: float = 1.0) -> DataFrame:
-    """pattern and confidence, from tokens (pattern, match, seed) of the whole corpus."""
-    edges = materialize(tokens.filter("pattern <> ''").groupBy("pattern", "match").agg(F.max("seed").alias("seed")), "personal-edges")
-    seeds = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).filter(F.col("seeds") >= min_seeds).select("pattern")
-    live = materialize(edges.join(seeds, "pattern", "left_semi"), "personal-live")
-    scores = live.filter("seed").select("match", F.lit(1.0).alias("score")).distinct()
+    return with_base.select(*kept, F.monotonically_increasing_id().alias(row), spans, F.transform(found, token).alias(found)), names[1:]
+
+
+def _words_of(pattern: Column) -> Column:
+    """The words of a pattern, without the place of the instance."""
+    return F.trim(F.regexp_replace(pattern, r"^_ | _$", ""))
+
+
+def count_uses(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """words and uses: how often each word or pair of neighbouring words of `wanted` stands in the texts (text)."""
+    words = F.split(F.trim(_spaced(F.lower("text"))), " +")
+    placed = texts.filter("text is not null").select(words.alias("all")).select("all", F.posexplode("all").alias("i", "one"))
+    pair = F.when(F.col("i") > 0, F.concat_ws(" ", F.get("all", F.col("i") - 1), "one"))
+    every = placed.select(F.explode(F.array("one", pair)).alias("words"))
+    return every.join(broadcast_if_small(wanted, "words"), "words", "left_semi").groupBy("words").agg(F.count("*").alias("uses"))
+
+
+def score_patterns(tokens: DataFrame, texts: DataFrame, *, turns: int = 3, min_support: float = 3.0, prior: float = 1.0) -> DataFrame:
+    """pattern and confidence of the patterns with support, from tokens (patterns, match, seed) and texts (text) of the
+    whole corpus."""
+    edges = tokens.select(F.explode("patterns").alias("pattern"), "match", "seed").groupBy("pattern", "match").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = materialize(edges, "personal-edges")
+    able = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).filter(F.col("instances") >= min_support)
+    able = materialize(able.withColumn("words", _words_of(F.col("pattern"))), "personal-able")
+    uses = count_uses(texts, materialize(able.select("words").distinct(), "personal-words"))
+    other = F.greatest(F.lit(0), F.coalesce("uses", F.lit(0)) - F.col("n"))
+    able = materialize(able.join(uses, "words", "left").select("pattern", (F.col("instances") + other + prior).alias("extracted")), "personal-extracted")
+    able = broadcast_if_small(able, "pattern")
+    live = materialize(edges.join(able, "pattern").select("pattern", "match", "seed", "extracted"), "personal-live")
+    scores = None
     for turn in range(turns):
-        known = live.join(scores, "match", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        patterns = materialize(known.groupBy("pattern").agg((F.round(F.sum("score"), 9) / (F.count("*") + prior)).alias("confidence")), "personal-patterns")
+        score = F.when(F.col("seed"), 1.0)
+        known = live if scores is None else live.join(scores, "match", "left")
+        score = score.otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
+        support = F.round(F.sum(score), 9)
+        patterns = known.groupBy("pattern").agg(support.alias("support"), F.max("extracted").alias("extracted")).filter(F.col("support") >= min_support)
+        patterns = materialize(patterns.select("pattern", (F.col("support") / F.col("extracted")).alias("confidence")), "personal-patterns")
         if turn < turns - 1:
-            rated = live.join(patterns, "pattern")
-            scores = rated.groupBy("match").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))).alias("left"))
-            scores = scores.select("match", F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.exp("left"), 9)).alias("score"))
+            rated = live.filter(~F.col("seed")).join(broadcast_if_small(patterns, "pattern"), "pattern")
+            scores = rated.groupBy("match").agg(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))).alias("left"))
+            scores = materialize(scores.select("match", F.round(1 - F.exp("left"), 9).alias("score")), "personal-scores")
     return patterns
 
 
@@ -153,24 +194,27 @@ def find_personal_data(
     *,
     text_col: str = "text",
     turns: int = 3,
-    min_seeds: int = 3,
+    min_support: float = 3.0,
     prior: float = 1.0,
     min_confidence: float = 0.6,
-    min_digits: int = 4,
-    min_size: int = 8,
+    min_digits: int = 3,
+    min_size: int = 6,
 ) -> DataFrame:
     """The columns of `docs` but the text, and base (base spans) and spans (all spans): arrays of (start, kind
     number, end) in order."""
-    scanned = materialize(scan(docs, text_col=text_col), "personal-scan")
-    tokens = scanned.select("row_", F.explode("tokens_").alias("t")).select("row_", "t.*")
-    patterns = score_patterns(tokens, turns=turns, min_seeds=min_seeds, prior=prior).filter(F.col("confidence") >= min_confidence).select("pattern")
+    scanned, (row, base, found) = scan(docs, text_col=text_col)
+    scanned = materialize(scanned, "personal-scan")
+    tokens = scanned.select(F.col(row).alias("row"), F.explode(found).alias("t")).select("row", "t.*")
+    patterns = score_patterns(tokens, docs.select(F.col(f"`{text_col}`").alias("text")), turns=turns, min_support=min_support, prior=prior)
+    good = materialize(patterns.filter(F.col("confidence") >= min_confidence).select("pattern"), "personal-good")
     shaped = tokens.filter(~F.col("seed") & (F.length("match") >= min_size) & (F.regexp_count("match", F.lit("[0-9]")) >= min_digits))
-    found = shaped.join(broadcast_if_small(materialize(patterns, "personal-good"), "pattern"), "pattern", "left_semi")
-    more = found.groupBy("row_").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("more_"))
-    joined = scanned.join(more, "row_", "left")
-    carried = [c for c in docs.columns if c != text_col]
-    every = F.array_sort(F.concat("base_", F.coalesce("more_", F.array().cast(scanned.schema["base_"].dataType))))
-    return joined.select(*[F.col(f"`{c}`") for c in carried], F.col("base_").alias("base"), every.alias("spans"))
+    unseen = shaped.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(broadcast_if_small(good, "pattern"), "pattern", "left_semi")
+    more = unseen.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("more"))
+    (extra,) = free_names([*scanned.columns, "spans"], "more")
+    joined = scanned.join(broadcast_if_small(materialize(more, "personal-more"), 256).withColumnsRenamed({"row": row, "more": extra}), row, "left")
+    carried = [c for c in scanned.columns if c not in (row, base, found)]
+    every = F.array_sort(F.concat(F.col(base), F.coalesce(F.col(extra), F.array().cast(scanned.schema[base].dataType))))
+    return joined.select(*[F.col(f"`{c}`") for c in carried], F.col(base).alias("base"), every.alias("spans"))
 
 
 def _joined(spans: str) -> Column:

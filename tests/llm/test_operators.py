@@ -334,6 +334,62 @@ def test_personal_data_finds_unseen_identifiers(spark):
     assert got[31].spans == "" and got[0].spans == "email:15:37"
 
 
+def plain_bootstrap(texts, turns=3, min_support=3.0, prior=1.0, min_confidence=0.6):
+    """The id spans of each text by plain dictionaries."""
+    token = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+    rows, n, uses = [], Counter(), Counter()
+    for i, text in enumerate(texts):
+        text = text or ""
+        words = [w.lower() for w in WORD.findall(text)]
+        uses.update(words)
+        uses.update(" ".join(p) for p in zip(words, words[1:]))
+        seeds, found = base_spans(text), list(token.finditer(text))
+        for k, m in enumerate(found):
+            before = text[found[k - 1].end() if k else 0 : m.start()]
+            behind = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+            left, right = [w.lower() for w in WORD.findall(before)], [w.lower() for w in WORD.findall(behind)]
+            pair = re.search(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", before)
+            patterns = [w + " _" for w in left[-1:]] + ([f"{left[-2]} {left[-1]} _"] if pair else []) + ["_ " + w for w in right[:1]]
+            n.update(patterns)
+            rows.append((i, m.start(), m.end(), m.group(), patterns, any(a < m.end() and m.start() < b for a, _, b in seeds)))
+    edges = defaultdict(dict)
+    for _, _, _, match, patterns, seed in rows:
+        for p in patterns:
+            edges[p][match] = edges[p].get(match, False) or seed
+    extracted = {p: len(e) + max(0, uses[re.sub("^_ | _$", "", p)] - n[p]) + prior for p, e in edges.items()}
+    score = {}
+    for _ in range(turns):
+        support = {p: sum(1.0 if seed else score.get(m, 0.0) for m, seed in e.items()) for p, e in edges.items()}
+        confidence = {p: s / extracted[p] for p, s in support.items() if s >= min_support}
+        left = defaultdict(float)
+        for p, c in confidence.items():
+            for m, seed in edges[p].items():
+                left[m] += 0 if seed else np.log1p(-min(c, 0.999999))
+        score = {m: 1 - np.exp(x) for m, x in left.items()}
+    out = defaultdict(list)
+    for i, a, b, match, patterns, seed in rows:
+        if not seed and len(match) >= 6 and sum(ch.isdigit() and ch.isascii() for ch in match) >= 3 and any(confidence.get(p, 0) >= min_confidence for p in patterns):
+            out[i].append(f"id:{a}:{b}")
+    return out
+
+
+def test_bootstrap_against_plain_code(spark):
+    """Seeds of any form, contexts on both sides, a second hop, a common word that is no context, ties and repeats."""
+    r = random.Random(5)
+    given = [f"please write to {'abcdefghij'[i % 10] * 3}{'xy'[i % 2]}.person@mail.example.org for help" for i in range(20)]
+    member = [f"MEM-{r.randrange(10**6):06d}" for _ in range(30)]
+    given += [f"please write to {m} for help" for m in member[:20]] + [f"Badge\tholder {m} of the club" for m in member[2:24]]
+    given += ["the 4026083977531332 of the 4122859641637651 in the +1 (168) 555-0000 the end"] * 3 + [prose(i, 300) + " the end of the day" for i in range(9)]
+    given += [None, "", "numbers 20240101 to 20240107", "write\n\nto  MEM-777777 " + "w" * 3000 + " 123456789"]
+    docs = spark.createDataFrame([(i, t, 1, 2, [3]) for i, t in enumerate(given)], "doc_id long, text string, row int, base int, tokens array<int>")
+    found = personal_data.find_personal_data(docs)
+    assert found.columns == ["doc_id", "row", "tokens", "base", "spans"]
+    got = {x.doc_id: [s for s in x.spans.split(",") if s.startswith("id:")] for x in personal_data.digest(found).collect()}
+    wanted = plain_bootstrap(given)
+    assert got == {i: wanted.get(i, []) for i in range(len(given))}
+    assert all(got[i] for i in range(20, 40)) and all(got[i] for i in range(40, 62)) and not any(got[i] for i in range(62, 76))
+
+
 # licences
 
 
