@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from prismfold.llm import extraction
@@ -33,5 +35,34 @@ def test_awkward_pages(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_class_words_keep_article_text():
+    inside = ARTICLE.replace("<p>Be.", '<div class="post-share side-by-side"><p>Real paragraph.</p></div><p class="disclaimer text">A remark.</p><div class="article-header"><p>Sub.</p></div><p>Be.')
+    assert extraction.main_text(PAGE.format(body=inside)) == WANT.replace("\nBe.", "\nReal paragraph.\nA remark.\nSub.\nBe.")
+    dropped = ARTICLE.replace("<p>Be.", '<div class="cookie-banner">We use.</div><div id="ad_slot-3">Buy.</div><ul class="comments list"><li>Hi</li></ul><div class="site-notice">Note.</div><p>Be.')
+    assert extraction.main_text(PAGE.format(body=dropped)) == WANT
+
+
+def test_clusters_select_the_region():
+    """Without content elements and with several, the ratios decide, and sigma and threshold with them."""
+    long, links = "A long paragraph of the text itself. " * 12, '<p><a href="#">l</a> <a href="#">m</a> <a href="#">n</a> <a href="#">o</a> <a href="#">p</a> link</p>'
+    page = PAGE.format(body=f"<div>{links * 200}</div><div>{f'<p>{long}</p>' * 3}<p>End.</p></div>")
+    assert extraction.main_text(page) == "\n".join([long.strip()] * 3 + ["End."])
+    assert extraction.main_text(page, sigma=1e6, threshold=0.0) != extraction.main_text(page)
+    two = PAGE.format(body=f"<article>{links * 60}</article><article><h2>Head</h2><p>{long}</p><p>End.</p></article>")
+    assert extraction.main_text(two) == f"Head\n{long.strip()}\nEnd."
+    assert extraction.main_text(two, sigma=1e6, threshold=0.0).startswith("l m n")
+    assert extraction.clusters(np.array([True, True, False, True])) == [(0, 2), (3, 4)]
+
+
+def test_deep_nesting_takes_linear_time():
+    began, took = time.time(), []
+    for depth in (20_000, 80_000):
+        page = "<div>" * depth + "<p>Deep text.</p>" + "<b>x</b></i>" * depth + "</div>" * depth
+        assert extraction.main_text(page).startswith("Deep text.")
+        took.append(time.time() - began)
+        began = time.time()
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_smoothing_keeps_constants():
     assert np.allclose(extraction.smoothed(np.full(9, 3.0), 1.0), 3.0)
