@@ -35,12 +35,12 @@ def clean_text(value: Column) -> Column:
 
 
 def clean_number(value: Column) -> Column:
-    """A number out of a table cell: dashes and lone signs are null, brackets negative."""
+    """A number out of a table cell: dashes and lone signs are null; a cell with both brackets anywhere is negative."""
     text = F.trim(value)
     digits = F.regexp_replace(text, r"[^0-9.\-]", "")
     number = digits.try_cast("double")
     number = F.when(F.length(digits) > 0, number)
-    signed = F.when(text.startswith("(") & text.endswith(")"), -F.abs(number)).otherwise(number)
+    signed = F.when(text.contains("(") & text.contains(")"), -F.abs(number)).otherwise(number)
     return F.when(text.isin("", "-", "—", "–"), None).otherwise(signed)
 
 

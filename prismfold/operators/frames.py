@@ -11,9 +11,14 @@ from prismfold.functions.values import share
 
 
 def with_latest(df: DataFrame, key: str | Sequence[str], date: str) -> DataFrame:
-    """The rows at each key's own latest date: one scan and one shuffle, where a self-join has two and three."""
+    """The rows at each key's own latest date.
+
+    The dates combine in the map tasks to a row for each key, which is joined back: where the keys are few, adaptive
+    execution broadcasts them by their measured size and the facts stay in place; no key's rows meet in one task.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.withColumn("latest_", F.max(date).over(Window.partitionBy(*keys))).filter(F.col(date) == F.col("latest_")).drop("latest_")
+    newest = df.groupBy(*keys).agg(F.max(date).alias(date))
+    return df.join(newest, [*keys, date], "left_semi")
 
 
 def top_n(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
@@ -26,21 +31,32 @@ def top_per_group(df: DataFrame, group: str, n: int, by: str, tie: str) -> DataF
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def _largest(totals: DataFrame, name: str, value: str, n: int) -> DataFrame:
+    return totals.orderBy(F.col(value).desc_nulls_last(), F.col(name)).limit(n).select(name)
+
+
+def _named_or_other(df: DataFrame, few: DataFrame, name: str) -> DataFrame:
+    """`df` with "Other" for each name that is not among the few."""
+    told = df.join(F.broadcast(few.withColumn("few_", F.lit(True))), name, "left")
+    return told.withColumn(name, F.when(F.col("few_"), F.col(name)).otherwise("Other")).drop("few_")
+
+
 def top_n_other(totals: DataFrame, name: str, value: str, n: int, skip: str) -> DataFrame:
     """The n largest names, and "Other" for the rest; `skip` is in neither, but in the total that shares are of.
 
-    `totals` has a row for each name. Only the named rows are ranked in one place, after aggregation.
+    `totals` has a row for each name. Each task keeps its n largest; those n names alone are broadcast.
     """
     total = totals.agg(F.sum(value).alias("total_"))
     named = totals.filter(F.col(name).isNotNull() & (F.col(name) != skip))
-    ranked = named.withColumn("rank_", F.row_number().over(Window.orderBy(F.col(value).desc_nulls_last(), F.col(name))))
-    label = F.when(F.col("rank_") <= n, F.col(name)).otherwise("Other")
-    out = ranked.groupBy(label.alias(name)).agg(F.sum(value).alias(value))
+    out = _named_or_other(named, _largest(named, name, value, n), name).groupBy(name).agg(F.sum(value).alias(value))
     return out.join(F.broadcast(total)).withColumn("pct", share(F.col(value), F.col("total_"))).drop("total_")
 
 
 def with_share(df: DataFrame, value: str, over: Sequence[str] = (), name: str = "pct", digits: int = 4) -> DataFrame:
-    """`df` with each row's share of the total of its group."""
+    """`df` with each row's share of the total of its group; the total of all rows is one row, sent to each task."""
+    if not over:
+        total = df.agg(F.sum(value).alias("total_"))
+        return df.join(F.broadcast(total)).withColumn(name, share(F.col(value), F.col("total_"), digits)).drop("total_")
     return df.withColumn(name, share(F.col(value), F.sum(value).over(Window.partitionBy(*over)), digits))
 
 
@@ -75,11 +91,16 @@ def coverage(df: DataFrame, value: str, known: Column, keys: Sequence[str], name
 def share_trend(values: DataFrame, date: str, name: str, value: str, n: int = 6) -> DataFrame:
     """Shares by date of the n names with the largest mean share over all dates, and of "Other".
 
-    Dates and names are few; the two are crossed so that a missing pair counts as 0 in the mean.
+    A missing pair of date and name counts as 0: a name's mean is the sum of its shares over the number of dates.
     """
     sums = values.groupBy(date, name).agg(F.sum(value).alias("v_"))
-    dense = sums.select(date).distinct().join(sums.select(name).distinct(), how="cross").join(sums, [date, name], "left").fillna(0, ["v_"])
-    shared = dense.withColumn("s_", share(F.col("v_"), F.sum("v_").over(Window.partitionBy(date)), 10))
-    ranked = shared.groupBy(name).agg(F.round(F.avg("s_"), 8).alias("m_")).withColumn("r_", F.row_number().over(Window.orderBy(F.desc("m_"), name)))
-    label = F.when(F.col("r_") <= n, F.col(name)).otherwise("Other")
-    return shared.join(F.broadcast(ranked), name).groupBy(date, label.alias(name)).agg(F.round(F.sum("s_"), 4).alias("pct"))
+    totals = sums.groupBy(date).agg(F.sum("v_").alias("t_"))
+    shared = sums.join(totals, date).select(date, name, share(F.col("v_"), F.col("t_"), 10).alias("s_"))
+    dates = totals.agg(F.count("*").alias("dates_"))
+    means = shared.groupBy(name).agg(F.sum("s_").alias("sum_")).join(F.broadcast(dates)).select(name, F.round(F.col("sum_") / F.col("dates_"), 8).alias("m_"))
+    labelled = _named_or_other(shared, _largest(means, name, "m_", n), name)
+    labels = labelled.select(name).distinct()
+    # at most n + 1 labels: each has a row on each date
+    every = totals.select(date).join(F.broadcast(labels))
+    out = every.join(labelled, [date, name], "left").groupBy(date, name).agg(F.round(F.coalesce(F.sum("s_"), F.lit(0.0)), 4).alias("pct"))
+    return out

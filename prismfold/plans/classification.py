@@ -48,7 +48,7 @@ def classify_companies(companies: DataFrame, done: DataFrame, taxonomy: DataFram
     sector = _ask(asked, provider, batch).checkpoint()
     industries = taxonomy.groupBy(F.col("sector").alias("answer")).agg(F.sort_array(F.collect_set("industry")).alias("allowed"))
     next_step = sector.filter(F.col("confidence") >= threshold).select("company_id", "answer").join(F.broadcast(industries), "answer").join(companies.select("company_id", "company_name"), "company_id")
-    industry = _ask(next_step, provider, batch)
+    industry = _ask(next_step, provider, batch).checkpoint()  # each company is asked once, whatever reads the answers
     label = lambda df, kind: df.select("company_id", F.lit(kind).alias("taxonomy_type"), F.coalesce("answer", F.lit(unknown)).alias("node_id"), "confidence", F.lit("provider").alias("model"))
     return by_rule.unionByName(label(sector, "sector")).unionByName(label(industry, "industry"))
 
@@ -87,13 +87,14 @@ def write_back(companies: DataFrame, holdings: DataFrame, mapping: DataFrame, so
 def match_folders(folders: DataFrame, funds: DataFrame, accept: float = 0.6) -> DataFrame:
     """folder, fund_id and score of the best fund name for each folder name, if good enough.
 
-    Equal word sets score 1; else the Jaccard similarity, raised where one set holds the other. Both sides are lists of
-    an institution's funds, so the smaller one is sent to the larger.
+    Equal word sets score 1; else the Jaccard similarity, raised where one set holds the other.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != ""))
     left = folders.select("folder", words(F.col("folder")).alias("a"))
     right = funds.select("fund_id", words(F.col("fund_name")).alias("b"))
-    pairs = left.join(right, F.arrays_overlap("a", "b"))
+    # only names that share a word are paired, by an equi-join on the word
+    shared = left.select("folder", F.explode("a").alias("w")).join(right.select("fund_id", F.explode("b").alias("w")), "w").select("folder", "fund_id").distinct()
+    pairs = shared.join(left, "folder").join(right, "fund_id")
     common, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
     similar = common / union
     held = F.least(F.size("a"), F.size("b"))

@@ -50,12 +50,13 @@ def scale_to_investor(holdings: DataFrame, reports: DataFrame, configured: dict[
     without one is left out), else as a fixed rate of the holdings' sum. `holdings`: fund_id, fund_name, source,
     as_of_date, holding_id, value > 0; `reports`: fund_id, as_of_date, nav, net_assets.
     """
-    by_fund = Window.partitionBy("fund_id").orderBy("as_of_date")
-    of_quarter = Window.partitionBy("fund_id", "as_of_date")
-    rows = holdings.filter("value > 0 and as_of_date is not null").withColumn("index", F.dense_rank().over(by_fund) - 1)
-    rows = rows.withColumn("count", F.max("index").over(Window.partitionBy("fund_id")) + 1).withColumn("total", F.sum("value").over(of_quarter).cast("double"))
+    live = holdings.filter("value > 0 and as_of_date is not null")
+    # a row for each fund's quarter: ranks and totals are of these, and the holdings stay in place
+    quarters = live.groupBy("fund_id", "as_of_date").agg(F.sum("value").cast("double").alias("total"))
+    of_fund = Window.partitionBy("fund_id")
+    quarters = quarters.withColumn("index", F.row_number().over(of_fund.orderBy("as_of_date")) - 1).withColumn("count", F.count("*").over(of_fund))
     told = reports.groupBy("fund_id", "as_of_date").agg(F.max("nav").alias("nav"), F.max("net_assets").alias("net_assets"))
-    rows = rows.join(told, ["fund_id", "as_of_date"], "left")
+    rows = live.join(quarters.join(told, ["fund_id", "as_of_date"], "left"), ["fund_id", "as_of_date"])
     is_pdf = F.col("source") == "pdf_document"
     value = F.when(is_pdf, F.nullif(F.col("nav"), F.lit(0.0))).otherwise(F.col("total") * rate)
     base = F.when(is_pdf, F.coalesce(F.nullif(F.col("net_assets"), F.lit(0.0)), F.col("total"))).otherwise(F.col("total"))
@@ -81,11 +82,13 @@ def resolve_taxonomy(exposures: DataFrame, classified: DataFrame, by_text: DataF
 
 
 def rollup(exposures: DataFrame, value: str, dimensions: dict[str, str], confidence: str) -> DataFrame:
-    """Sums by taxonomy node and date for the portfolio (fund '') and each fund, in one pass over a long form."""
+    """Sums by taxonomy node and date for each fund, and for the portfolio (fund '') from the sums of its funds."""
     stack = ", ".join(f"'{kind}', `{column}`" for kind, column in dimensions.items())
     long = exposures.select("fund_id", "as_of_date", F.col(value).alias("v_"), (F.col(value) * F.col(confidence)).alias("w_"), F.expr(f"stack({len(dimensions)}, {stack}) as (taxonomy_type, node_id)"))
-    both = long.withColumn("fund", F.explode(F.array(F.lit(""), F.col("fund_id").cast("string"))))
-    return both.groupBy("fund", "as_of_date", "taxonomy_type", "node_id").agg(F.sum("v_").alias("total"), F.sum("w_").alias("weighted"))
+    sums = [F.sum("v_").alias("v_"), F.sum("w_").alias("w_")]
+    by_fund = long.groupBy(F.col("fund_id").cast("string").alias("fund"), "as_of_date", "taxonomy_type", "node_id").agg(*sums)
+    whole = by_fund.groupBy("as_of_date", "taxonomy_type", "node_id").agg(*sums).withColumn("fund", F.lit(""))
+    return whole.unionByName(by_fund).withColumnsRenamed({"v_": "total", "w_": "weighted"})
 
 
 def keep_last(snapshot: DataFrame, keys: Sequence[str], date: str) -> DataFrame:

@@ -99,9 +99,9 @@ def ilike_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "customer").filter(F.col("c_name").ilike("%00000001%")).select("c_custkey", "c_name")
 
 
-@_query("SELECT holding_id, coalesce((CASE WHEN fund_id % 4 <> 0 THEN value * 0.05 END)::DOUBLE, value::DOUBLE, 0) AS effective FROM holdings WHERE fund_id % 10 = 1 GROUP BY ALL")
+@_query("SELECT holding_id, coalesce((CASE WHEN fund_id % 4 <> 0 THEN value * 0.05 END)::DOUBLE, value::DOUBLE, 0) AS effective FROM holdings GROUP BY ALL")
 def effective_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.holdings(spark, sf_dir).filter("fund_id % 10 = 1")
+    rows = S.holdings(spark, sf_dir)
     scaled = F.when(F.col("fund_id") % 4 != 0, (F.col("value") * F.lit("0.05").cast("decimal(3,2)")).cast("double"))
     return rows.select("holding_id", F.coalesce(scaled, F.col("value").cast("double"), F.lit(0.0)).alias("effective")).distinct()
 
@@ -161,10 +161,10 @@ def fund_detail_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.top_n(sums, 15, "v", "company_id").select("company_id", F.col("v").cast("double").alias("value"), "n")
 
 
-@_query("""SELECT holding_id, fund_name, value::DOUBLE AS value FROM holdings JOIN dim_fund USING (fund_id) WHERE source = 'bdc_filing' AND value IS NOT NULL AND company_id % 2 = 0
+@_query("""SELECT holding_id, fund_name, value::DOUBLE AS value FROM holdings JOIN dim_fund USING (fund_id) WHERE source = 'bdc_filing' AND value IS NOT NULL
 GROUP BY ALL ORDER BY value DESC NULLS LAST, holding_id LIMIT 50 OFFSET 100""")
 def holdings_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.holdings(spark, sf_dir).join(S.dim_fund(spark, sf_dir), "fund_id").filter("source = 'bdc_filing' and value is not null and company_id % 2 = 0")
+    rows = S.holdings(spark, sf_dir).join(S.dim_fund(spark, sf_dir), "fund_id").filter("source = 'bdc_filing' and value is not null")
     rows = rows.select("holding_id", "fund_name", F.col("value").cast("double").alias("value")).distinct()
     return O.page(rows, [F.col("value").desc_nulls_last(), F.col("holding_id")], 3, 50)
 
@@ -438,23 +438,28 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select(N.md5_uuid(key).alias("audit_event_id"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-_CHANGES = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 1000"
+_OLD = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+# every customer in debt, and a fresh key for each
+_NEW = "FROM (SELECT unnest([c_custkey, -c_custkey]) AS c_custkey FROM customer WHERE c_acctbal < 0)"
 
 
-@_query(f"""WITH old AS ({_CHANGES}), new AS (SELECT c_custkey, 'new' AS c_name FROM customer WHERE c_custkey % 10 = 0)
+def _changed(customer: DataFrame) -> DataFrame:
+    return customer.filter("c_acctbal < 0").select(F.explode(F.array(F.col("c_custkey"), -F.col("c_custkey"))).alias("c_custkey"))
+
+
+@_query(f"""WITH old AS ({_OLD}), new AS (SELECT c_custkey, 'new' AS c_name {_NEW})
 SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new) UNION ALL SELECT c_custkey, c_name, NULL FROM new""", silver=False)
 def upsert_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = S.table(spark, sf_dir, "customer")
-    old = customer.filter("c_custkey <= 1000").select("c_custkey", "c_name", "c_acctbal")
-    return T.upsert(old, customer.filter("c_custkey % 10 = 0").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"])
+    return T.upsert(customer.select("c_custkey", "c_name", "c_acctbal"), _changed(customer).withColumn("c_name", F.lit("new")), ["c_custkey"])
 
 
-@_query(f"""WITH old AS ({_CHANGES}), new AS (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'new' END AS c_name, 0.0::DOUBLE AS c_acctbal FROM customer WHERE c_custkey % 10 = 0)
+@_query(f"""WITH old AS ({_OLD}), new AS (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'new' END AS c_name, 0.0::DOUBLE AS c_acctbal {_NEW})
 SELECT coalesce(new.c_custkey, old.c_custkey) AS c_custkey, coalesce(new.c_name, old.c_name) AS c_name, coalesce(new.c_acctbal, old.c_acctbal) AS c_acctbal FROM old FULL JOIN new ON old.c_custkey = new.c_custkey""", silver=False)
 def merge_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = S.table(spark, sf_dir, "customer")
-    old = customer.filter("c_custkey <= 1000").select("c_custkey", "c_name", "c_acctbal")
-    new = customer.filter("c_custkey % 10 = 0").select("c_custkey", F.when(F.col("c_custkey") % 20 == 0, "new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    old = customer.select("c_custkey", "c_name", "c_acctbal")
+    new = _changed(customer).select("c_custkey", F.when(F.col("c_custkey") % 20 == 0, "new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
     return T.merge_nonnull(old, new, ["c_custkey"])
 
 
@@ -491,11 +496,11 @@ def taxonomy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name")).unionByName(
         nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
     )
-    nodes.createOrReplaceTempView("taxonomy_nodes")
-    return spark.sql("""WITH RECURSIVE t AS (
-        SELECT id, name AS node, 1 AS level, concat('/', name) AS path FROM taxonomy_nodes WHERE parent IS NULL
-        UNION ALL SELECT n.id, n.name, t.level + 1, concat(t.path, '/', n.name) FROM taxonomy_nodes n JOIN t ON n.parent = t.id)
-        SELECT node, level, path FROM t""")
+    sql = """WITH RECURSIVE t AS (
+        SELECT id, name AS node, 1 AS level, concat('/', name) AS path FROM {nodes} WHERE parent IS NULL
+        UNION ALL SELECT n.id, n.name, t.level + 1, concat(t.path, '/', n.name) FROM {nodes} n JOIN t ON n.parent = t.id)
+        SELECT node, level, path FROM t"""
+    return spark.sql(sql, nodes=nodes)
 
 
 @_query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.9), 6) AS p90, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1""", silver=False)

@@ -12,28 +12,39 @@ from prismfold.operators.tables import merge_nonnull, upsert
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
+    """Checkpoints go to the folder that the session names. Without one, a cluster has no folder that all see: that is an
+    error; a local session takes a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prismfold-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismfold-"))
 
 
 class Catalog:
-    """Tables below a path that driver and executors share. A write becomes visible when its pointer is renamed."""
+    """Tables below a path that driver and executors share, in any format that Spark writes.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A write becomes visible when its pointer, with the next number, is renamed into place; readers take the newest.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, format: str = "parquet", **options: str):
+        self.spark, self.path, self.format, self.options = spark, path.rstrip("/"), format, options
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str):
-        return self._path(f"{self.path}/{name}/CURRENT")
+    def _pointers(self, name: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.path}/{name}/CURRENT-*"))
+        return [int(f.getPath().getName().rsplit("-", 1)[1]) for f in found or []]
+
+    def _write(self, df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+        df.write.partitionBy(*(partition_by or [])).format(self.format).options(**self.options).save(path)
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._pointer(name))
+        return bool(self._pointers(name))
 
     def version(self, name: str) -> str:
-        return self.spark.read.text(self._pointer(name).toString()).first()[0]
+        return self.spark.read.text(f"{self.path}/{name}/CURRENT-{max(self._pointers(name)):012d}").first()[0]
 
     def table(self, name: str, schema: T.StructType | None = None, **equals) -> DataFrame:
         """The rows that match `equals`; names of columns that the table lacks are left out of account."""
@@ -41,7 +52,8 @@ class Catalog:
             if schema is None:
                 raise FileNotFoundError(f"no table {name} under {self.path}")
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.parquet(f"{self.path}/{name}/{self.version(name)}")
+        reader = self.spark.read.format(self.format).options(**self.options)
+        df = (reader.schema(schema) if schema is not None else reader).load(f"{self.path}/{name}/{self.version(name)}")
         for column, value in equals.items():
             if column in df.columns:
                 df = df.filter(df[column] == value)
@@ -49,22 +61,19 @@ class Catalog:
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         version = uuid.uuid4().hex
-        df.write.partitionBy(*(partition_by or [])).parquet(f"{self.path}/{name}/{version}")
-        new = self._path(f"{self.path}/{name}/NEXT-{version}")
+        self._write(df, f"{self.path}/{name}/{version}", partition_by)
+        number = max(self._pointers(name), default=0) + 1
+        new = self._path(f"{self.path}/{name}/.next-{version}")
         out = self._fs.create(new, True)
         out.writeBytes(version)
         out.close()
-        pointer = self._pointer(name)
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(new, pointer):
-            raise OSError(f"could not publish {name}")
+        # a pointer is never deleted or written over: a reader finds the one before or this one
+        if not self._fs.rename(new, self._path(f"{self.path}/{name}/CURRENT-{number:012d}")):
+            raise OSError(f"could not publish {name}: another writer was first")
 
     def append(self, name: str, df: DataFrame) -> None:
-        if self.exists(name):
-            df.write.mode("append").parquet(f"{self.path}/{name}/{self.version(name)}")
-        else:
-            self.replace(name, df)
+        """The rows of `df` behind those of the table, as a new version: no reader sees half of them."""
+        self.replace(name, self.table(name).unionByName(df, allowMissingColumns=True) if self.exists(name) else df)
 
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> None:
         self.replace(name, upsert(self.table(name), df, keys) if self.exists(name) else df)

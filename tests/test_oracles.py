@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from prismfold.plans.queries import ORACLES, QUERIES
+from prismfold.plans.pages import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
