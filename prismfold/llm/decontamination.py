@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismfold.llm.shared import raw_texts, text_batches
+from prismfold.llm.shared import free_names, raw_texts, text_batches
 
 #: Benchmark text that one pass over the documents holds on each executor; more text makes more passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _LOWER = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -38,15 +38,29 @@ def grams(words: list[bytes], n: int):
     return zip(*(words[i:] for i in range(n)))
 
 
-def _windows(rows, window: int) -> dict[tuple, set]:
-    """Each distinct window with the ids of the items that have it."""
-    found: dict[tuple, set] = defaultdict(set)
-    for item_id, text in rows:
-        words = words_of((text or "").encode("utf-8", "surrogatepass"))
-        if words:
-            for gram in grams(words, min(window, len(words))):
-                found[gram].add(str(item_id))
-    return found
+class _Items:
+    """The words of a block of benchmark items; windows are places in them, so that no window's words are copied."""
+
+    def __init__(self, rows, window: int):
+        self.ids: list[str] = []
+        self.words: list[list[bytes]] = []
+        known: dict[bytes, bytes] = {}  # each word is held once
+        for item_id, text in rows:
+            words = words_of((text or "").encode("utf-8", "surrogatepass"))
+            if words:
+                self.ids.append(str(item_id))
+                self.words.append([known.setdefault(w, w) for w in words])
+        self.window = window
+
+    def windows(self) -> Iterator[tuple[int, int, int]]:
+        """Item, start and size of every window."""
+        for item, words in enumerate(self.words):
+            size = min(self.window, len(words))
+            for start in range(len(words) - size + 1):
+                yield item, start, size
+
+    def shingles(self, shingle: int) -> set[tuple]:
+        return {g for words in self.words for g in grams(words, min(shingle, self.window, len(words)))}
 
 
 def _shingle_counts(docs: DataFrame, text_col: str, shingles: set[tuple]) -> dict[tuple, int]:
@@ -87,27 +101,28 @@ def _merge(runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in merged]
 
 
-def _probe_block(docs: DataFrame, found: DataFrame, text_col: str, rows, window: int, shingle: int) -> DataFrame:
-    """`found` with the hit word runs and items of one benchmark block added to its `runs_` and `items_`."""
+def _probe_block(docs: DataFrame, found: DataFrame, text_col: str, rows, window: int, shingle: int, names: list[str]) -> DataFrame:
+    """`found` with the hit word runs and items of one benchmark block added to its columns `names` (words, runs, items)."""
     spark = docs.sparkSession
-    windows = _windows(rows, window)
-    counts = _shingle_counts(docs, text_col, {g for w in windows for g in grams(w, min(shingle, len(w)))})
+    block = _Items(rows, window)
+    counts = _shingle_counts(docs, text_col, block.shingles(shingle))
     index: dict[tuple, list] = defaultdict(list)
-    for w, items in windows.items():
-        size = min(shingle, len(w))
-        rarest = min((counts.get(g, 0), g, at) for at, g in enumerate(grams(w, size)))
-        if rarest[0]:  # a window with a shingle that no document has occurs nowhere
-            index[rarest[1]].append((rarest[2], list(w), sorted(items)))
+    for item, start, size in block.windows():
+        words, n = block.words[item], min(shingle, size)
+        count, gram, at = min((counts.get(g, 0), g, at) for at, g in enumerate(grams(words[start : start + size], n)))
+        if count:  # a window with a shingle that no document has occurs nowhere
+            index[gram].append((at, item, start, size))
     by_size: dict[int, set] = defaultdict(set)
     for s in index:
         by_size[len(s)].add(s)
-    sent = spark.sparkContext.broadcast((dict(by_size), dict(index)))
+    sent = spark.sparkContext.broadcast((dict(by_size), dict(index), block.words, block.ids))
+    n_words_col, runs_col, items_col = names
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, prefix = sent.value
+        sizes, prefix, item_words, ids = sent.value
         for batch in batches:
             n_words, runs, items = [], [], []
-            before = zip(batch.column("runs_").to_pylist(), batch.column("items_").to_pylist())
+            before = zip(batch.column(runs_col).to_pylist(), batch.column(items_col).to_pylist())
             for text, (old_runs, old_items) in zip(raw_texts(batch, text_col), before):
                 words = words_of(text)
                 hit = [(r["start"], r["end"]) for r in old_runs]
@@ -116,17 +131,16 @@ def _probe_block(docs: DataFrame, found: DataFrame, text_col: str, rows, window:
                     if some.isdisjoint(grams(words, n)):
                         continue
                     for i, g in enumerate(grams(words, n)):
-                        for at, w, ids in prefix.get(g, ()):
-                            start, end = i - at, i - at + len(w)
-                            if start >= 0 and end <= len(words) and words[start:end] == w:
+                        for at, item, first, size in prefix.get(g, ()):
+                            start, end = i - at, i - at + size
+                            if start >= 0 and end <= len(words) and words[start:end] == item_words[item][first : first + size]:
                                 hit.append((start, end))
-                                hit_items.update(ids)
+                                hit_items.add(ids[item])
                 n_words.append(len(words))
                 runs.append(_merge(hit))
                 items.append(sorted(hit_items))
-            made = {"n_words_": pa.array(n_words, pa.int64()), "runs_": pa.array(runs, _RUNS), "items_": pa.array(items, pa.list_(pa.string()))}
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names=names)
+            made = {n_words_col: pa.array(n_words, pa.int64()), runs_col: pa.array(runs, _RUNS), items_col: pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
     return found.mapInArrow(probe, found.schema)
 
@@ -153,21 +167,19 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     carried = [c for c in docs.columns if c != "contamination"]
+    names = free_names(carried, "n_words", "runs", "items")
+    n_words, runs, hit_items = names
     found = docs.select(
         *[F.col(f"`{c}`") for c in carried],
-        F.lit(0).cast("long").alias("n_words_"),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias("runs_"),
-        F.lit(None).cast("array<string>").alias("items_"),
-    ).fillna(0, ["n_words_"])
-    empty_runs = F.array().cast("array<struct<start:long,end:long>>")
-    found = found.withColumns({"runs_": F.coalesce("runs_", empty_runs), "items_": F.coalesce("items_", F.array().cast("array<string>"))})
+        F.coalesce(F.lit(None).cast("long"), F.lit(0)).cast("long").alias(n_words),
+        F.coalesce(F.lit(None).cast("array<struct<start:long,end:long>>"), F.array().cast("array<struct<start:long,end:long>>")).alias(runs),
+        F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>")).alias(hit_items),
+    )
     for b in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        found = _probe_block(docs, found, text_col, block.collect(), window, shingle)
-    n_hit = F.aggregate("runs_", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    told = F.struct(
-        F.col("n_words_").alias("n_words"), n_hit.alias("n_hit"), F.col("runs_").alias("runs"), F.col("items_").alias("items"), (F.size("runs_") > 0).alias("contaminated")
-    )
+        found = _probe_block(docs, found, text_col, block.collect(), window, shingle, names)
+    n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    told = F.struct(F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.col(runs).alias("runs"), F.col(hit_items).alias("items"), (F.size(runs) > 0).alias("contaminated"))
     return found.select(*[F.col(f"`{c}`") for c in carried], told.alias("contamination"))
 
 

@@ -7,7 +7,11 @@ residual room, each carries a bitmap of its sources and one of its duplicate clu
 goes on from the least sufficient residual until a bin shares no bit with the piece. Where none does, a bin opens.
 
 Defined cases: texts without words (null ones too) have no piece and a null bin; null source and null cluster
-never conflict; ties go by id, then piece; repeated rows are of one cluster and so never share a bin.
+never conflict; ties go by id, then piece; repeated rows are of one cluster and so never share a bin; a text of any
+length is cut into pieces; other columns of `docs`, of any name, are left out.
+
+By default, equal texts are a cluster. Near copies are one if the caller passes their component as `cluster`, as a
+pipeline does that has joined near copies before.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismfold.llm.shared import materialize
+
 CAPACITY = 2048
 SHARD_PIECES = 4000
 
@@ -59,6 +65,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     words = F.size(F.filter(F.split(F.translate(F.col(text_col), "\t\n\x0b\x0c\r", " " * 5), " "), lambda w: w != ""))
     kind = docs.schema[id_col].dataType.simpleString()
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster"), F.coalesce(F.when(F.col(text_col).isNotNull(), words), F.lit(0)).alias("words"))
+    sized = materialize(sized, "pack-sizes")  # words are counted once: the texts are not read again
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity))
     count = sized.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)))).first()[0] or 0
