@@ -34,7 +34,7 @@ from prismfold.llm.shared import broadcast_if_small, drop_materialized, free_nam
 
 ORDER = 5
 #: N-grams that every executor holds, of all languages together.
-HEAD = 1 << 20
+HEAD = 1 << 19
 #: Code points of one vectorised step.
 CHUNK = 1 << 20
 #: Bits of a character's rank within a step: a step with more distinct characters is halved.
@@ -229,8 +229,20 @@ def split_model(model: DataFrame, head: int) -> tuple[dict[str, SortedHashes], D
         room, least = room - row.entries, row["rank"]
     if least is None:
         return {}, model
-    pdf = model.filter(rank >= least).select("lang", "hash", "log").toPandas()
-    arrays = {lang: SortedHashes(g["hash"].to_numpy().view(np.uint64), g["log"].to_numpy()) for lang, g in pdf.groupby("lang")}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            hashes, logs = batch.column("hash").to_numpy(), batch.column("log").to_numpy().astype(np.float32)
+            found = sorted(set(langs))
+            parts = [(hashes[langs == x].tobytes(), logs[langs == x].tobytes()) for x in found]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(found, pa.string()), "hashes": pa.array([h for h, _ in parts], pa.binary()), "logs": pa.array([v for _, v in parts], pa.binary())})
+
+    # 12 bytes an n-gram come to the driver
+    parts: dict[str, list] = {}
+    for row in model.filter(rank >= least).select("lang", "hash", "log").mapInArrow(pack, "lang string, hashes binary, logs binary").collect():
+        parts.setdefault(row.lang, []).append((row.hashes, row.logs))
+    arrays = {lang: SortedHashes(np.frombuffer(b"".join(h for h, _ in p), np.uint64), np.frombuffer(b"".join(v for _, v in p), np.float32)) for lang, p in parts.items()}
     return arrays, model.filter(rank < least)
 
 
