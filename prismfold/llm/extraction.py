@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -56,6 +57,7 @@ _CLOSES = {
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
+@lru_cache(maxsize=4096)
 def _names_chrome(named: str, inside: bool) -> bool:
     """Whether a class or id is of what surrounds an article; a header inside an article is its own."""
     for token in named.lower().split():
