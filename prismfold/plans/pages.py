@@ -221,12 +221,12 @@ def update_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
 
 
-@_query("""SELECT l_orderkey, l_partkey, comment FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_returnflag END AS comment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem)
+@_query("""SELECT l_orderkey, l_partkey, comment FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_returnflag END AS comment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS r FROM lineitem)
 WHERE r = 1 AND comment IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""", silver=False)
 def bootstrap_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.when(F.col("l_partkey") % 5 != 0, F.col("l_returnflag")).alias("comment"))
+    rows = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", F.when(F.col("l_partkey") % 5 != 0, F.col("l_returnflag")).alias("comment"))
     seen = S.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    return L.bootstrap(rows, seen, [F.col("l_linenumber"), F.col("l_partkey")], ["l_orderkey", "l_partkey", "comment"], ["comment"])
+    return L.bootstrap(rows, seen, [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_returnflag")], ["l_orderkey", "l_partkey", "comment"], ["comment"])
 
 
 @_query("SELECT s_suppkey, s_name, NULL::VARCHAR AS website, s_acctbal::DECIMAL(12,2)::DOUBLE AS balance FROM supplier", silver=False)
