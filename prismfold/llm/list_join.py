@@ -39,8 +39,8 @@ def _blocks(now: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return sides[0], sides[1]
 
 
-def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int) -> DataFrame | None:
-    """The links (a, b) found; None if no list has two items.
+def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, label: str, rounds: int, rest_factor: int, links: DataFrame | None = None) -> DataFrame | None:
+    """The links (a, b) found, with those given; None if none are given and no list has two items.
 
     `lists` has token, doc and what else `candidates(left, right, across)` needs, which returns pairs (x of left,
     y of right) of entries of one list whose components satisfy `across`, repeats included, and `need`, in how many
@@ -48,7 +48,6 @@ def link_in_lists(lists: DataFrame, candidates: Callable, verify: Callable, labe
     """
     support = lists.groupBy("doc").agg(F.count("*").alias("support"))
     lists = materialize(lists.join(support, "doc"), f"{label}-lists")
-    links = None
     for turn in range(rounds + 1):
         now = lists
         if links is not None:

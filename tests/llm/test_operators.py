@@ -591,3 +591,45 @@ def test_licence_query_inherits_by_directory(spark, sf_dir):
     assert stated and sum(r.own_license is not None for r in rows) >= stated
     assert held and {r.doc_id for r in rows if r.origin == "directory"} == {r.doc_id for r in rows if r.own_license is None and r.path.rsplit("/", 1)[0] in held}
     assert any(r.origin == "directory" for r in rows)
+
+
+@pytest.mark.parametrize("turn", [None, 0, 2])
+def test_block_pairs_against_all_pairs(turn):
+    """Blocks of a hot list: all pairs across components that agree enough, or one such partner of each line."""
+    r = np.random.default_rng(4)
+    n, values = 90, line_dedup.BANDS * line_dedup.ROWS
+    base = r.integers(0, 256, (6, values), dtype=np.uint8)
+    sketches = np.where(r.random((n, values)) < 0.75, base[np.arange(n) % 6], r.integers(0, 256, (n, values), dtype=np.uint8))
+    docs, components, own = np.arange(n) * 3, r.integers(0, 30, n), np.arange(n) % 2
+    least = 38
+    agree = (sketches[:, None] == sketches).sum(2)
+    wanted = {(docs[i], docs[j]) for i in range(n) for j in range(i) if components[i] != components[j] and agree[i, j] >= least}
+    got = set()
+    for first, second in ((0, 0), (0, 1), (1, 1)):
+        a, b, _ = line_dedup.block_pairs(docs, components, own, sketches, first, second, least, turn)
+        found = [(max(p), min(p)) for p in zip(a, b)]
+        assert turn is not None or len(found) == len(set(found))  # all pairs: once
+        got |= set(found)
+    if turn is None:
+        assert got == wanted
+    else:
+        assert got < wanted and {x for p in got for x in p} == {x for p in wanted for x in p}
+
+
+def test_hot_lists_link_as_lists_do(spark):
+    """Components are those of the joined lists, whatever the list size from which blocks take over."""
+    r = random.Random(12)
+    opening = prose(51, 30)
+    rows = [(i, opening + " " + " ".join(r.choice(("ash", "elm", "oak", "yew", "fir")) for _ in range(9))) for i in range(150)]
+    rows += [(200 + i, prose(300 + i, 20)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = [{(x.doc, x["at"], x.first_doc) for x in line_dedup.line_components(docs, hot=hot).collect()} for hot in (10, 10**9)]
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in rows}
+    lead = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and lead[i] != lead[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                lo, hi = sorted((lead[i], lead[j]))
+                lead = {k: lo if v == hi else v for k, v in lead.items()}
+    same = Counter(lead.values())
+    assert told[0] == told[1] == {(i, 0, v) for i, v in lead.items() if same[v] > 1}
