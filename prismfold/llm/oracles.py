@@ -50,6 +50,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12 = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+g AS (
+  SELECT lang, k, array_to_string(w[s:s+k-1], ' ') AS phrase, count(*) AS f
+  FROM words, (SELECT unnest([1, 2, 3]) AS k), unnest(range(1, len(w) - k + 2)) t(s) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, str_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, cut, l.f AS l, r.f AS r, (1000000 * c.f::HUGEINT * c.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT c.*, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut+1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM cuts) WHERE i = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM c WHERE k = 3),
+most AS (SELECT lang, phrase, max(f) AS m FROM inside GROUP BY 1, 2),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.m IS NULL OR 100 * m.m < 50 * a)
+SELECT ranked.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
@@ -67,4 +89,4 @@ w AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 10
 """
 
-ORACLES = {"op4_ngram_jaccard_join": OP4, "op5_suffix_array_dedup": OP5, "op9_decontamination": OP9, "op13_hard_negatives": OP13}
+ORACLES = {"op4_ngram_jaccard_join": OP4, "op5_suffix_array_dedup": OP5, "op9_decontamination": OP9, "op12_collocations": OP12, "op13_hard_negatives": OP13}
