@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismfold.llm import classifier, collocations, decontamination, extraction, hard_negatives, jaccard_join, licenses, line_dedup, oracles, packing, perplexity, personal_data, repeats
+from prismfold.llm import classifier, collocations, decontamination, extraction, hard_negatives, hidden_markov, jaccard_join, licenses, line_dedup, oracles, packing, perplexity, personal_data, repeats
 from prismfold.llm.shared import read_table
 
 
@@ -70,6 +70,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines_removed", n_lines.alias("lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tenth = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    return hidden_markov.score_texts(docs, tenth != 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -94,6 +100,7 @@ QUERIES = {
         op8_html_extraction,
         op9_decontamination,
         op10_line_dedup,
+        op11_markov_scoring,
         op12_collocations,
         op13_hard_negatives,
     )

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The job's shuffle files go when it is written, the table's when the driver's JVM ends.
@@ -48,7 +48,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, None)
     try:
         spark.conf.set(_CLEAN_UP, "true")
-        df.write.parquet(path)
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     jvm = spark.sparkContext._jvm
