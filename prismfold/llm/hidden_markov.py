@@ -335,19 +335,30 @@ def train(encoded: DataFrame, overall: np.ndarray, states: int, shards: int) ->
     return tables
 
 
+def _least_count(words: DataFrame) -> int:
+    """The least count from which on at most HEAD short words remain: counts are told by their first eight binary digits,
+    so that a few thousand sums come to the driver and not the first words of every task."""
+    unit = F.expr("shiftleft(1L, greatest(length(bin(c)) - 8, 0))")
+    steps = words.filter(F.octet_length("word") <= HEAD_BYTES).groupBy((F.col("c") - F.col("c") % unit).alias("c")).agg(F.count("*").alias("n"))
+    kept, least = 0, 1 << 62
+    for r in steps.orderBy(F.col("c").desc()).collect():
+        kept += r.n
+        if kept > HEAD:
+            break
+        least = r.c
+    return least
+
+
 def _count(docs: DataFrame) -> Model:
     """Words of the training texts; `docs` has id, text and train."""
     texts = docs.filter("train")
     words = materialize(texts.select("text").mapInArrow(_word_counts(1 << 20), "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "markov-words")
     ends = texts.count()
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    short = F.octet_length("word") <= HEAD_BYTES
-    head = words.filter(short).orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    in_tail = F.lit(True)
-    if head:
-        in_tail = ~short | (F.col("c") < head[-1].c) | ((F.col("c") == head[-1].c) & (F.col("word") > head[-1].word))
-    classes = words.filter(in_tail).groupBy(word_class(F.col("word")).alias("class")).agg(F.sum("c").alias("class_tokens"), F.count("*").alias("class_words"))
-    return Model(words, [r.word.encode() for r in head], [r.c for r in head], in_tail, materialize(classes, "markov-classes"), ends, (total.n or 0) + ends, total.v + (ends > 0), Tables(*[np.zeros(0)] * 3))
+    in_head = (F.octet_length("word") <= HEAD_BYTES) & (F.col("c") >= _least_count(words))
+    head = words.filter(in_head).orderBy(F.col("c").desc(), "word").collect()
+    classes = words.filter(~in_head).groupBy(word_class(F.col("word")).alias("class")).agg(F.sum("c").alias("class_tokens"), F.count("*").alias("class_words"))
+    return Model(words, [r.word.encode() for r in head], [r.c for r in head], ~in_head, materialize(classes, "markov-classes"), ends, (total.n or 0) + ends, total.v + (ends > 0), Tables(*[np.zeros(0)] * 3))
 
 
 def score_texts(docs: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, shards: int = SHARDS) -> DataFrame:

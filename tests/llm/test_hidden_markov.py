@@ -102,7 +102,10 @@ def plain(rows, in_training, head, tables=None):
             c.update(words_of(text))
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    own = {w: i for i, (w, _) in enumerate(sorted(((w, x) for w, x in c.items() if len(w.encode()) <= hm.HEAD_BYTES), key=lambda x: (-x[1], x[0].encode()))[:head])}
+    short = [(w, x) for w, x in c.items() if len(w.encode()) <= hm.HEAD_BYTES]
+    rough = lambda x: x - x % (1 << max(0, x.bit_length() - 8))
+    fits = [t for t in {rough(x) for _, x in short} if sum(x >= t for _, x in short) <= head]
+    own = {w: i for i, (w, x) in enumerate(sorted(((w, x) for w, x in short if fits and x >= min(fits)), key=lambda x: (-x[1], x[0].encode())))}
     tail_class = lambda w: zlib.crc32(re.sub(r"[0-9]", "0", w).encode()[-3:]) % hm.CLASSES
     members = Counter(tail_class(w) for w in c if w not in own)
     inside = Counter()
@@ -133,7 +136,7 @@ def result(df):
     return sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
 
 
-@pytest.mark.parametrize("head", [10, 1 << 17])
+@pytest.mark.parametrize("head", [0, 10, 1 << 17])
 def test_scores_equal_plain_python(spark, monkeypatch, head):
     """With given tables, on repeated rows, null ids, null, empty and very long texts, and words that training lacks."""
     monkeypatch.setattr(hm, "HEAD", head)
