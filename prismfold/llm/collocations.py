@@ -14,9 +14,11 @@ count as rows. Other columns are left out of account, whatever their names; an e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -28,23 +30,31 @@ from prismfold.llm.shared import drop_materialized, materialize, raw_texts, text
 BITS = 1 << 27
 
 #: Bytes of text that a task takes at once, and words and counted runs that it holds before it sends them on.
-BYTES, HELD = 4 << 20, 1 << 21
+BYTES, HELD = 1 << 20, 1 << 20
 
 # Where a text is cut into pieces; A-Z in lower case; a tab is a blank.
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(10 if c in _MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK, _CUT = 0, 1
 
-_SEED = 42  # of Spark's xxhash64
+_SEED, _TURN = 42, 21  # the seed of Spark's xxhash64; bits by which a run's hash turns for each word
 
+#: Word numbers below 2**21: three of them in a 64-bit code.
+_NUMBER, _PACKED = 21, 3
 
-def _key(lang: Column, phrase: Column) -> Column:
-    return F.pmod(F.xxhash64(F.concat_ws("\0", lang, phrase)), F.lit(BITS))
 
+def _key(lang: Column, phrase: Column, k: int) -> Column:
+    """The bit of a run of k words: the hashes of its words, each rotated once more than the one behind it."""
+    out = None
+    for i in range(k):
+        one = F.xxhash64(F.concat_ws("\0", lang, F.get(F.split(phrase, " "), F.lit(i))))
+        out = one if out is None else (F.shiftleft(out, _TURN).bitwiseOR(F.shiftrightunsigned(out, 64 - _TURN))).bitwiseXOR(one)
+    return F.pmod(out, F.lit(BITS))
 
-def _bitmap(level: DataFrame) -> Broadcast:
-    """The bits of a level's runs, for all tasks."""
-    at = level.select((_key(F.col("lang"), F.col("phrase")) + 1).alias("at"))
+
+def _bitmap(level: DataFrame, k: int) -> Broadcast:
+    """The bits of a level's runs of k words, for all tasks."""
+    at = level.select((_key(F.col("lang"), F.col("phrase"), k) + 1).alias("at"))
     parts = at.groupBy(F.call_function("bitmap_bucket_number", "at").alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
     size = 32768 // 8
     whole = np.zeros(BITS // 8, np.uint8)
@@ -62,93 +72,104 @@ class _Ids(dict):
 
 
 class _Task:
-    """One language's words in a task: numbers, and the counts of runs held until they are sent."""
+    """One language's words in a task: numbers, and the counts of runs held until they are sent.
+
+    A run is one code or more, of three word numbers each: equal codes are equal runs.
+    """
 
     def __init__(self, lang: bytes, k: int, bitmaps: list[np.ndarray]):
         self.lang, self.k, self.bitmaps = lang, k, bitmaps
         self.ids = _Ids({b"": _BLANK, b"\n": _CUT})
-        self.words: list[bytes] = []
-        self.frequent = np.zeros(0, bool)
-        self.codes, self.counts = [], []
-
-    def _known(self, phrases: Iterable[bytes], bitmap: np.ndarray) -> np.ndarray:
-        """Whether a level's bitmap has the phrases."""
-        head = self.lang + b"\0"
-        at = np.fromiter((xxhash.xxh64_intdigest(head + p, _SEED) for p in phrases), np.uint64) & np.uint64(8 * bitmap.size - 1)
-        return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        self.hashes = np.zeros(0, np.uint64)
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
     def number(self, texts: list[bytes]) -> np.ndarray:
         """Word numbers of texts that follow each other, with a cut between; blanks are gone."""
         tokens = b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
         ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.words) < len(self.ids):
-            fresh = list(self.ids)[len(self.words) :]
-            self.words += fresh
-            if self.bitmaps:
-                known = self._known(fresh, self.bitmaps[0])
-                self.frequent = np.concatenate([self.frequent, known])
-                self.frequent[:2] = False
+        if self.bitmaps and self.hashes.size < len(self.ids):
+            head = self.lang + b"\0"
+            fresh = (xxhash.xxh64_intdigest(head + w, _SEED) for w in islice(self.ids, self.hashes.size, None))
+            self.hashes = np.concatenate([self.hashes, np.fromiter(fresh, np.uint64)])
         return ids[ids != _BLANK]
 
-    def text(self, run: Iterable[int]) -> bytes:
-        return b" ".join(self.words[i] for i in run)
-
     def take(self, texts: list[bytes]) -> None:
-        """Count the runs of k words whose parts are frequent.
-
-        A run is a row of word numbers; equal rows are told by the exact number of their first k - 1 words among those
-        of this call, and the last word's number.
-        """
+        """Count the runs of k words of which every part is frequent."""
         ids = self.number(texts)
         if self.k == 1:
-            code, n = np.unique(ids[ids != _CUT], return_counts=True)
+            n = np.bincount(ids, minlength=2)
+            n[_CUT] = 0
+            code = np.flatnonzero(n)
+            return self._hold(code[:, None], n[code])
+        # from frequent words to frequent runs: both the run that starts here and the one a word later
+        hashes = self.hashes[ids]
+        fine, run = _has(self.bitmaps[0], hashes) & (ids != _CUT), hashes
+        for width in range(2, self.k + 1):
+            fine = fine[:-1] & fine[1:]
+            if width < self.k:
+                run = (run[:-1] << np.uint64(_TURN) | run[:-1] >> np.uint64(64 - _TURN)) ^ hashes[width - 1 :]
+                fine &= _has(self.bitmaps[width - 1], run)
+        starts = np.flatnonzero(fine)
+        codes = []
+        for first in range(0, self.k, _PACKED):
+            code = ids[starts + first]
+            for i in range(first + 1, min(first + _PACKED, self.k)):
+                code = code << _NUMBER | ids[starts + i]
+            codes.append(code)
+        if len(codes) == 1:
+            code, n = np.unique(codes[0], return_counts=True)
             return self._hold(code[:, None], n)
-        usable = self.frequent[ids]
-        starts = np.flatnonzero(usable[:-1] & usable[1:])
-        pair, back = np.unique(ids[starts] << 32 | ids[starts + 1], return_inverse=True)
-        runs, width = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1), 2
-        while width < self.k:
-            # runs of one word more: both the run that starts here and the one that starts a word later are frequent
-            fine = self._known(map(self.text, runs.tolist()), self.bitmaps[width - 1])
-            name = np.full(ids.size, -1)
-            name[starts[fine[back]]] = back[fine[back]]
-            starts = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
-            code, back = np.unique(name[starts] << 32 | ids[starts + width], return_inverse=True)
-            runs = np.concatenate([runs[code >> 32], (code & 0xFFFFFFFF)[:, None]], axis=1)
-            width += 1
-        self._hold(runs, np.bincount(back, minlength=len(runs)))
-
-    def _hold(self, runs: np.ndarray, n: np.ndarray) -> None:
-        self.codes.append(runs)
+        self._hold(*_summed(np.stack(codes, axis=1), np.ones(starts.size, np.int64)))
+
+    def _hold(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self.codes.append(codes)
         self.counts.append(n)
 
     def held(self) -> int:
-        return len(self.ids) + sum(map(len, self.counts))
+        return max(len(self.ids), sum(map(len, self.counts)))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """What is held, equal runs summed."""
-        if self.codes:
-            runs, n = np.concatenate(self.codes), np.concatenate(self.counts)
-            order = np.lexsort(runs.T[::-1])
-            runs, n = runs[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]).any(axis=1)]) if len(runs) else [])
-            sums = np.add.reduceat(n, first) if len(first) else n[:0]
-            for at in range(0, len(first), 100_000):
-                part = runs[first[at : at + 100_000]].tolist()
-                phrases = pa.array([self.text(r) for r in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([self.lang.decode()] * len(part), pa.string()), phrases, pa.array(sums[at : at + 100_000], pa.int64())], names=["lang", "phrase", "n"])
-
-
-def _parts(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
-    """Texts in lists of bounded length; very long ones are taken by their pieces, between which no run goes."""
-    some, size = [], 0
+        if not self.codes:
+            return
+        codes, n = _summed(np.concatenate(self.codes), np.concatenate(self.counts))
+        words = pa.array(list(self.ids), pa.binary())
+        for at in range(0, len(n), 100_000):
+            part, columns = codes[at : at + 100_000], []
+            for first in range(0, self.k, _PACKED):
+                width = min(_PACKED, self.k - first)
+                columns += [words.take(pa.array(part[:, first // _PACKED] >> _NUMBER * (width - 1 - i) & (1 << _NUMBER) - 1)) for i in range(width)]
+            phrases = (pc.binary_join_element_wise(*columns, b" ") if self.k > 1 else columns[0]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang.decode()] * len(part), pa.string()), phrases, pa.array(n[at : at + 100_000], pa.int64())], names=["lang", "phrase", "n"])
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * bitmap.size - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of codes and the sums of their counts."""
+    order = np.lexsort(codes.T[::-1])
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if first.size else n
+
+
+def _parts(texts: Iterable[bytes], most: int, k: int) -> Iterator[list[bytes]]:
+    """Texts in lists of bounded length. A very long one is taken by its pieces, between which no run goes, and a very long
+    piece by its words, with the next part's first k - 1 words, so that each run is in one part."""
+    some, size, step = [], 0, most // 16
     for text in texts:
-        for part in [text] if len(text) <= most else text.translate(_FOLD).split(b"\n"):
-            some.append(part)
-            size += len(part) + 1
-            if size > most:
-                yield some
-                some, size = [], 0
+        for piece in [text] if len(text) <= most else text.translate(_FOLD).split(b"\n"):
+            words = piece.translate(_FOLD).split() if len(piece) > most else []
+            for part in (b" ".join(words[i : i + step + k - 1]) for i in range(0, len(words), step)) if words else (piece,):
+                some.append(part)
+                size += len(part) + 1
+                if size > most:
+                    yield some
+                    some, size = [], 0
     yield some
 
 
@@ -163,7 +184,7 @@ def _runs(k: int, bitmaps: list[Broadcast], size: int, most: int) -> Callable:
             for lang, text in zip(raw_texts(batch, "lang"), raw_texts(batch, "text")):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                for some in _parts(texts, size):
+                for some in _parts(texts, size, k):
                     if lang not in tasks:
                         tasks[lang] = _Task(lang, k, maps)
                     tasks[lang].take(some)
@@ -192,7 +213,7 @@ def count_levels(docs: DataFrame, longest: int = 3, least: int = 10, text_col: s
         if k == 1:
             drop_materialized(words)
         if k < longest:
-            bitmaps.append(_bitmap(levels[-1]))
+            bitmaps.append(_bitmap(levels[-1], k))
     for b in bitmaps:
         b.unpersist()
     return sizes, levels

@@ -42,7 +42,7 @@ def corpus(seed, n=60):
     fixed = ["New York", "the United States of", "état  major", "a\tb", "über alles, Über alles", "same same same same", "x\x00y z"]
     words = [f"w{i}" for i in range(6)] + ["É", "zß", "a|b"]
     text = lambda: "".join(r.choice(fixed if r.random() < 0.2 else words) + r.choice([" ", " ", "  ", "\t", ". ", "\n", "\r\n", "\x0b", "\x0c", "; "]) for _ in range(r.randrange(80)))
-    return [(r.choice(["en", "de", None, "und", "x y"]), text()) for _ in range(n)] + [("en", None), ("fr", ""), (None, " \n"), ("en", "one")]
+    return [(r.choice(["en", "de", None, "und", "x y"]), text()) for _ in range(n)] + [("en", None), ("en", " ".join(r.choice(words) for _ in range(900))), ("fr", ""), (None, " \n"), ("en", "one")]
 
 
 @pytest.mark.parametrize("bits, held, size", [(1 << 27, 1 << 21, 4 << 20), (1 << 15, 50, 200)])
