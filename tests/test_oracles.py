@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from prismfold.plans.pages import ORACLES, QUERIES
+from __spark_entry__ import _pages, _stored
+
+ORACLES, QUERIES = _pages.ORACLES | _stored.ORACLES, _pages.QUERIES | _stored.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
