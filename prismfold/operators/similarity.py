@@ -1,52 +1,139 @@
-"""Similarity join on word sets and greedy clusters of names."""
+"""Similarity joins on word sets, and greedy clusters of what they link."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a word on the other side that one task takes; more are dealt to several.
+HOT = 10_000
+
+#: Edges that one task settles.
+ONE_TASK = 200_000
+
+_EPS = 1e-9
+
+
+def _least(size: Column, share: float) -> Column:
+    """The least whole number that is `share` of a size."""
+    return F.ceil(size * F.lit(share) - F.lit(_EPS)).cast("int")
+
+
+def _prefixes(df: DataFrame, order: DataFrame, share: float, side: str) -> DataFrame:
+    """A row for each of the rarest words of a set, of which two similar sets share one: w, f, side_id, side_size, side_at."""
+    words = df.select("id", F.explode("tokens").alias("w")).join(order, "w")
+    sets = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
+    size = F.size("s")
+    first = sets.select(F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"), F.posexplode(F.slice("s", F.lit(1), size - _least(size, share) + 1)).alias(f"{side}_at", "p"))
+    return first.select("p.w", "p.f", f"{side}_id", f"{side}_size", f"{side}_at")
+
+
+def _candidates(a: DataFrame, b: DataFrame, threshold: float, which: Column | None = None) -> DataFrame:
+    """left_id and right_id of the pairs that share a prefix word and may share enough.
+
+    The first shared word leaves no more than the rest of either set behind it, which bounds what they share. A frequent
+    word's left rows are dealt to as many keys as keep its right rows from meeting all of them in one task.
+    """
+    parts = (F.col("f") / HOT).cast("int") + 1
+    a = a.withColumn("salt", F.pmod(F.xxhash64("left_id"), parts)).drop("f")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("f")
+    needed = F.ceil((F.col("left_size") + F.col("right_size")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
+    enough = F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at")) >= needed
+    sizes = (F.col("left_size") >= _least(F.col("right_size"), threshold)) & (F.col("right_size") >= _least(F.col("left_size"), threshold))
+    pairs = a.join(b, ["w", "salt"]).filter(sizes & enough & (which if which is not None else F.lit(True)))
+    return pairs.select("left_id", "right_id").distinct()
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets, fetched by id, reach the threshold."""
+    both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("tokens").alias("l")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("tokens").alias("r")), "right_id")
+    common = F.size(F.array_intersect("l", "r"))
+    score = common / (F.size("l") + F.size("r") - common)
+    return both.select("left_id", "right_id", score.alias("score")).filter(F.col("score") >= threshold - _EPS)
+
+
+def _order(words: DataFrame) -> DataFrame:
+    return words.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+
 
 def token_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id and score of all pairs (id, tokens) whose Jaccard similarity reaches the threshold.
 
-    An inverted index instead of a nested loop: rare-first prefixes are joined on the word, sizes bound the pairs,
-    and shared words are then counted on the sets.
+    An inverted index instead of a nested loop: rare-first prefixes are joined on the word, sizes and places bound the
+    pairs, and the sets of those that remain are fetched by id and compared. Ids are unique on each side; empty sets are
+    similar to nothing.
     """
-    both = left.select("tokens").unionByName(right.select("tokens")).select(F.explode("tokens").alias("w"))
-    order = both.groupBy("w").agg(F.count("*").alias("f"))
+    order = _order(left.unionByName(right, allowMissingColumns=True).select("tokens"))
+    pairs = _candidates(_prefixes(left, order, threshold, "left"), _prefixes(right, order, threshold, "right"), threshold)
+    return _verified(pairs, left, right, threshold)
+
 
-    def prefix(df: DataFrame, side: str) -> DataFrame:
-        words = df.select("id", "tokens", F.explode("tokens").alias("w")).join(order, "w")
-        ordered = words.groupBy("id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ordered"))
-        length = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-        return ordered.select(F.col("id").alias(f"{side}_id"), F.col("tokens").alias(f"{side}_tokens"), F.explode(F.slice("ordered", F.lit(1), length)).alias("p")).withColumn("w", F.col("p.w")).drop("p")
+def similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
+    """a, b and score of all pairs a < b of one table (id, tokens) whose Jaccard similarity reaches the threshold.
 
-    a, b = prefix(left, "left"), prefix(right, "right")
-    sizes = (F.size("left_tokens") >= F.size("right_tokens") * threshold - 1e-9) & (F.size("right_tokens") >= F.size("left_tokens") * threshold - 1e-9)
-    pairs = a.join(b, "w").filter(sizes).dropDuplicates(["left_id", "right_id"])
-    common = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    score = common / (F.size("left_tokens") + F.size("right_tokens") - common)
-    return pairs.select("left_id", "right_id", score.alias("score")).filter(F.col("score") >= threshold - 1e-9)
+    Each pair is met in one direction only, with the smaller set on the left: its prefix is the shorter one that sets of
+    its own size and larger allow.
+    """
+    order = _order(df)
+    short = _prefixes(df, order, 2 * threshold / (1 + threshold), "left")
+    smaller = F.struct("left_size", "left_id") < F.struct("right_size", "right_id")
+    found = _verified(_candidates(short, _prefixes(df, order, threshold, "right"), threshold, smaller), df, df, threshold)
+    return found.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "score")
 
 
-def greedy_stars(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """id and seed of greedy clusters inside components: in id order, an unclaimed id becomes a seed and claims its
-    unclaimed later neighbours. `edges` has a < b; `labels` gives the component of each id.
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's ids b, in order, those that can be told: claimed if a smaller neighbour is a seed, a seed if all are
+    claimed. `a_open` says that a is some edge's b; what is not is a seed. Of an a of an earlier task nothing is known."""
+    told: dict = {}
+    now, claimed, unsure = None, False, False
+    for batch in batches:
+        ids, seeds = [], []
 
-    The result depends on edges within a component only, so components are dealt to tasks.
+        def close() -> None:
+            if now is not None and (claimed or not unsure):
+                told[now] = not claimed
+                ids.append(now)
+                seeds.append(not claimed)
+
+        for a, b, a_open in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_open"))):
+            if b != now:
+                close()
+                now, claimed, unsure = b, False, False
+            state = told.get(a) if a_open else True
+            claimed |= state is True
+            unsure |= state is None
+        kind = batch.schema.field("b").type
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(seeds, pa.bool_())], names=["id", "seed"])
+    if now is not None and (claimed or not unsure):
+        yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([not claimed], pa.bool_())], names=["id", "seed"])
+
+
+def greedy_stars(edges: DataFrame, save) -> DataFrame:
+    """id and seed of greedy clusters: in id order, an unclaimed id becomes a seed and claims its unclaimed later neighbours.
+
+    `edges` has a < b. The seeds are the first independent set in id order, which does not need the order to be walked: an
+    id is settled as soon as its smaller neighbours are. Each round deals the open edges to tasks by ranges of b; a task
+    settles what it can, and the lowest range settles wholly, so there are as many rounds as ranges at the most, however
+    long the chains, and usually a few. `save` cuts the lineage of a frame (checkpoint() or a written table).
     """
-    grouped = edges.join(labels.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
+    edges = save(edges.select("a", "b").distinct())
     kind = edges.schema["a"].dataType.simpleString()
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = pdf.groupby("a")["b"].apply(sorted).to_dict()
-        taken: dict = {}
-        for seed in sorted(set(pdf["a"]) | set(pdf["b"])):
-            if seed not in taken:
-                taken[seed] = seed
-                for other in near.get(seed, ()):
-                    taken.setdefault(other, seed)
-        return pd.DataFrame({"id": list(taken), "seed": list(taken.values())})
-
-    return grouped.groupBy("component").applyInPandas(claim, f"id {kind}, seed {kind}")
+    open_, claimed = edges, None
+    while n := open_.count():
+        later = open_.select(F.col("b").alias("a")).distinct().withColumn("a_open", F.lit(True))
+        marked = open_.join(later, "a", "left").select("a", "b", F.coalesce("a_open", F.lit(False)).alias("a_open"))
+        dealt = marked.repartitionByRange(-(-n // ONE_TASK), "b").sortWithinPartitions("b")
+        told = save(dealt.mapInArrow(_settle, f"id {kind}, seed boolean"))
+        gone = told.filter("not seed").select("id")
+        claimed = gone if claimed is None else claimed.unionByName(gone)
+        rest = open_.join(told.select(F.col("id").alias("b")), "b", "left_anti").join(gone.select(F.col("id").alias("a")), "a", "left_anti")
+        open_ = save(rest.select("a", "b"))
+    if claimed is None:
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("seed"))
+    from_seeds = edges.join(claimed.select(F.col("id").alias("a")), "a", "left_anti")
+    stars = from_seeds.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("seed"))
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    return nodes.join(stars, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismfold.functions.names import first_entity, normalize_name, tokens
 from prismfold.functions.values import clean_text
-from prismfold.operators.frames import dedupe
-from prismfold.operators.similarity import greedy_stars, token_join
+from prismfold.operators.similarity import greedy_stars, similar_pairs, token_join
 from prismfold.sources.catalog import use_checkpoints
 
 # Confidence of each stage.
@@ -44,35 +43,20 @@ def resolve_names(raw: DataFrame, companies: DataFrame, aliases: DataFrame, thre
     return out.select("id", "company_id", "method", confidence.alias("confidence"))
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """Smallest id that can be reached, by repeated minimum; pairs of near-equal names make shallow graphs."""
-    use_checkpoints(edges.sparkSession)
-    edges = edges.checkpoint()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
-    while True:
-        step = both.join(now.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        least = F.least("component", "near").alias("component")
-        after = now.join(step, "id").select("id", least, (F.col("near") < F.col("component")).alias("moved")).checkpoint()
-        if after.filter("moved").isEmpty():
-            return after.select("id", "component")
-        now = after.select("id", "component")
-
-
 def consolidate(companies: DataFrame, threshold: float = 0.90) -> DataFrame:
     """company_id and canonical_id of companies that are duplicates.
 
     Equal normal forms of two words or more form a group; the others are clustered greedily at the threshold. A
     group's canonical name has no " and ", no bracket, is shortest, and comes first.
     """
-    named = companies.withColumn("norm", normalize_name(F.col("company_name"))).withColumn("tokens", tokens(F.col("norm"))).filter(F.size("tokens") >= 2)
-    counted = named.withColumn("n", F.count("*").over(Window.partitionBy("norm")))
-    exact = counted.filter("n > 1").withColumn("seed", F.min("company_id").over(Window.partitionBy("norm"))).select("company_id", "company_name", "seed")
-    alone = counted.filter("n = 1").select(F.col("company_id").alias("id"), "tokens")
-    edges = token_join(alone, alone, threshold).filter("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    stars = greedy_stars(edges, _components(edges)).join(companies, F.col("id") == F.col("company_id")).select("company_id", "company_name", "seed")
-    groups = exact.unionByName(stars)
-    order = [F.lower("company_name").contains(" and "), F.col("company_name").contains("("), F.length("company_name"), F.col("company_id")]
-    canonical = dedupe(groups, ["seed"], order).select("seed", F.col("company_id").alias("canonical_id"))
-    sizes = groups.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    return groups.join(sizes, "seed", "left_semi").join(canonical, "seed").select("company_id", "canonical_id")
+    use_checkpoints(companies.sparkSession)
+    named = companies.select("company_id", "company_name", normalize_name(F.col("company_name")).alias("norm")).withColumn("tokens", tokens(F.col("norm"))).filter(F.size("tokens") >= 2)
+    same = named.groupBy("norm").agg(F.count("*").alias("n"), F.min("company_id").alias("seed"))
+    exact = named.join(same.filter("n > 1"), "norm").select("company_id", "company_name", "seed")
+    alone = named.join(same.filter("n = 1").select("norm"), "norm", "left_semi").select(F.col("company_id").alias("id"), "tokens")
+    stars = greedy_stars(similar_pairs(alone, threshold), lambda df: df.checkpoint())
+    groups = exact.unionByName(stars.withColumnRenamed("id", "company_id").join(companies, "company_id").select("company_id", "company_name", "seed"))
+    # the first in this order combines in the map tasks: no task holds a group
+    order = F.struct(F.lower("company_name").contains(" and ").alias("a"), F.col("company_name").contains("(").alias("b"), F.length("company_name").alias("c"), F.col("company_id").alias("id"))
+    heads = groups.groupBy("seed").agg(F.count("*").alias("n"), F.min(order).alias("best")).filter("n > 1")
+    return groups.join(heads, "seed").select("company_id", F.col("best.id").alias("canonical_id"))

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismfold.plans import silver as S
-from prismfold.plans.queries import ORACLES, QUERIES, _query
+from prismfold.plans.queries import _query
 from prismfold.sources.catalog import Catalog, Conflict, shared_folder
 
-__all__ = ["ORACLES", "QUERIES"]
-
 
 def _catalog(spark: SparkSession) -> Catalog:
     return Catalog(spark, shared_folder(spark, "catalog"))

@@ -159,3 +159,10 @@ def test_forward_fill_and_dedupe(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (2, 1, None)], "g int, o int, v string")
     assert rows(O.forward_fill(df, "v", ["g"], "o"), "g", "o") == [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, None)]
     assert rows(O.dedupe(df, ["g"], [F.desc("o")]).select("g", "o"), "g") == [(1, 3), (2, 1)]
+
+
+def test_every_stage_of_resolution_fires(spark, sf_dir):
+    from prismfold.plans.matching import resolution_stages
+
+    found = {r.method: r["count"] for r in resolution_stages(spark, sf_dir).groupBy("method").count().collect()}
+    assert set(found) == {"direct", "alias", "normalized", "token_overlap", "first_entity", "unresolved"} and min(found.values()) > 10

@@ -3,9 +3,7 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import _pages, _stored
-
-ORACLES, QUERIES = _pages.ORACLES | _stored.ORACLES, _pages.QUERIES | _stored.QUERIES
+from prismfold.plans.engine_queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
