@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismfold.operators.frames import share_trend
+from prismfold.sources.catalog import Catalog
+
 UNALLOCATED = "UNALLOCATED / UNKNOWN"
 
 
@@ -91,6 +95,31 @@ def rollup(exposures: DataFrame, value: str, dimensions: dict[str, str], confide
     return whole.unionByName(by_fund).withColumnsRenamed({"v_": "total", "w_": "weighted"})
 
 
+def store_snapshot(catalog: Catalog, name: str, records: DataFrame, snapshot_id: str, day: dt.date, months: int = 24) -> int:
+    """Add a snapshot to the stored ones: it is the latest, the one before no longer is, and those of more than `months`
+    calendar months ago go. One commit, which rewrites the files of the snapshots that change and no others; a snapshot
+    that is stored again replaces itself."""
+    stamps = {"snapshot_id": F.lit(snapshot_id), "snapshot_date": F.lit(day), "is_latest": F.lit(True)}
+    new = records.withColumns(stamps)
+    first_day = F.add_months(F.lit(day), -months)
+    expired, own = F.col("snapshot_date") < first_day, F.col("snapshot_id") == snapshot_id
+
+    def renewed(old: DataFrame) -> DataFrame:
+        return old.filter(~expired & ~own).withColumn("is_latest", F.lit(False)).unionByName(new)
+
+    return catalog.rewrite(name, "snapshot", lambda old: old.filter(F.col("is_latest") | expired | own), renewed, new.schema, ["snapshot_date"])
+
+
+def stored_trend(snapshots: DataFrame, nodes: DataFrame, fund: str, periods: int = 8, n: int = 6) -> DataFrame:
+    """snapshot_date, name and pct of a fund (or the portfolio, '') in the newest stored snapshots; `nodes`: node_id, name.
+
+    The unknown node has no name and drops out; snapshots of one day are added up.
+    """
+    rows = snapshots.filter(F.col("fund") == fund).join(nodes, "node_id")
+    days = rows.select("snapshot_date").distinct().orderBy(F.col("snapshot_date").desc()).limit(periods)
+    return share_trend(rows.join(F.broadcast(days), "snapshot_date"), "snapshot_date", "name", "total", n)
+
+
 def keep_last(snapshot: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """For each node the row of the newest date on which it appears, so that one snapshot may mix dates."""
     rest = [c for c in snapshot.columns if c not in keys]

@@ -55,3 +55,64 @@ def audit_events(action: str, entity: str, df: DataFrame, key: str, actor: Colum
 
 def append_unseen(log: DataFrame, events: DataFrame) -> DataFrame:
     return log.unionByName(events.join(log.select("audit_event_id"), "audit_event_id", "left_anti"))
+
+
+_EVENT = ["audit_event_id", "run_id", "actor_type", "actor", "action", "entity_type", "entity_id", "payload"]
+
+
+def _events(run_id: str, action: str, entity: str, df: DataFrame, key: Column, actor: Column, payload: dict[str, Column], actor_type: str = "system") -> DataFrame:
+    """An event for each row, with an id that follows from run, action and entity, so that a run told twice adds nothing."""
+    body = F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()]), {"ignoreNullFields": "false"})
+    name = F.concat_ws("|", F.lit(run_id), F.lit(action), F.lit(entity), key.cast("string"))
+    values = [md5_uuid(name), F.lit(run_id), F.lit(actor_type), actor, F.lit(action), F.lit(entity), key.cast("string"), body]
+    return df.select(*[v.alias(c) for v, c in zip(values, _EVENT)])
+
+
+def audit_trail(run_id: str, classified: DataFrame, queue: DataFrame, resolution: DataFrame, exposures: DataFrame) -> DataFrame:
+    """The events of a run: one for each classification, review item and resolved name, and one for the run with its counts.
+
+    `classified`: classification_id, company_id, model, taxonomy_type, node_id, confidence, rationale; `queue`:
+    queue_item_id, reason, priority; `resolution`: id, method, confidence, company_id. A classification without a company
+    goes by its own id. A run without exposures has no event of its own.
+    """
+    told = {"taxonomy_type": F.col("taxonomy_type"), "node_name": F.col("node_id"), "confidence": F.col("confidence"), "rationale": F.col("rationale")}
+    found = _events(run_id, "ai_classification", "company", classified, F.coalesce(F.col("company_id").cast("string"), "classification_id"), F.coalesce("model", F.lit("unknown_model")), told)
+    items = _events(run_id, "review_queue_insert", "review_queue_item", queue, F.col("queue_item_id"), F.lit("review_queue_generator"), {"reason": F.col("reason"), "priority": F.col("priority")})
+    how = {"match_method": F.col("method"), "match_confidence": F.col("confidence"), "matched_company_id": F.col("company_id").cast("string")}
+    names = _events(run_id, "entity_resolution", "holding", resolution, F.col("id"), F.lit("entity_resolver"), how)
+    counts = None
+    for label, df in (("classification_count", classified), ("review_queue_count", queue), ("entity_resolution_count", resolution), ("exposure_count", exposures)):
+        one = df.agg(F.count("*").alias(label))
+        counts = one if counts is None else counts.join(F.broadcast(one))  # a row each
+    done = _events(run_id, "pipeline_run_complete", "pipeline", counts.filter("exposure_count > 0"), F.lit(run_id), F.lit("run_pipeline"), {c: F.col(c) for c in counts.columns})
+    return found.unionByName(items).unionByName(names).unionByName(done)
+
+
+def approvals(queue: DataFrame, decisions: DataFrame, companies: DataFrame) -> DataFrame:
+    """The values that approved items write to their companies: company_id, queue_item_id, sector, industry, country,
+    manual_override, approved_by. A reviewer's value wins over the provider's; items without a company or value have none.
+
+    `queue`: queue_item_id, company_id, ai_sector, ai_industry, ai_country; `decisions`: queue_item_id, status,
+    manual_sector, manual_industry, manual_country, resolved_by.
+    """
+    fields = ("sector", "industry", "country")
+    empty_as_null = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = queue.join(decisions.filter("status = 'approved'"), "queue_item_id").join(companies.select("company_id"), "company_id", "left_semi")
+    values = [F.coalesce(empty_as_null(f"manual_{f}"), empty_as_null(f"ai_{f}")).alias(f) for f in fields]
+    manual = F.coalesce(*[empty_as_null(f"manual_{f}") for f in fields]).isNotNull()
+    out = rows.select("company_id", "queue_item_id", *values, manual.alias("manual_override"), F.col("resolved_by").alias("approved_by"))
+    return out.filter(F.coalesce(*fields).isNotNull())
+
+
+def approval_events(run_id: str, approved: DataFrame) -> DataFrame:
+    """An event for each approved item that changed a company, by its reviewer."""
+    payload = {c: F.col(c) for c in ("company_id", "sector", "industry", "country", "manual_override", "approved_by", "queue_item_id")}
+    events = _events(run_id, "review_queue_approve", "company", approved, F.col("queue_item_id"), F.col("approved_by"), payload, "user")
+    return events.withColumn("entity_id", F.get_json_object("payload", "$.company_id"))
+
+
+def change_events(run_id: str, entity: str, changes: DataFrame, key: str) -> DataFrame:
+    """An event for each row-level change (change, key, before, after) of a stored table between two versions."""
+    payload = {"before": F.col("before"), "after": F.col("after")}
+    parts = [_events(run_id, f"row_{kind}", entity, changes.filter(F.col("change") == kind), F.col(key), F.lit("catalog"), payload) for kind in ("insert", "update", "delete")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -224,13 +224,16 @@ class Catalog:
 
         return self._replayed(name, attempt)
 
-    def _rewrite(self, name: str, action: str, touched: Callable[[DataFrame], DataFrame], rewritten: Callable[[DataFrame], DataFrame], schema: T.StructType | None = None) -> int:
-        """Replace the files that hold a row of `touched` by what `rewritten` makes of all their rows."""
+    def rewrite(self, name: str, action: str, touched: Callable[[DataFrame], DataFrame], rewritten: Callable[[DataFrame], DataFrame], schema: T.StructType, partition_by: list[str] | None = None) -> int:
+        """Replace the files that hold a row of `touched` by what `rewritten` makes of all their rows, in one commit.
+
+        Without a table, `rewritten` gets no rows of `schema`, and makes the first version, dealt by `partition_by`.
+        """
 
         def attempt(state: Version | None) -> int:
             if state is None:
-                empty = self.spark.createDataFrame([], schema or T.StructType())
-                return self._commit(name, None, action, schema, [], self._write(name, rewritten(empty), []), {})
+                by = partition_by or []
+                return self._commit(name, None, action, schema, by, self._write(name, rewritten(self.spark.createDataFrame([], schema)), by), {})
             place = "file_"
             rows = touched(self._data(name, state.schema, state.files, place))
             names = (unquote(r[0]) for r in rows.select(place).distinct().collect())  # names of files, not rows
@@ -244,19 +247,32 @@ class Catalog:
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> int:
         """Rows of `df` replace those with their keys whole: columns that `df` lacks become null."""
         mine = df.select(*keys).distinct()
-        return self._rewrite(
+        return self.rewrite(
             name, "upsert", lambda old: old.join(mine, keys, "left_semi"), lambda old: old.join(mine, keys, "left_anti").unionByName(df, allowMissingColumns=True).select(*(old.columns or df.columns)), df.schema
         )
 
     def merge(self, name: str, df: DataFrame, keys: list[str], protect: dict | None = None) -> int:
         """Values of `df` win where they are not null; a column in `protect` keeps an old value that is listed."""
         mine = df.select(*keys).distinct()
-        return self._rewrite(name, "merge", lambda old: old.join(mine, keys, "left_semi"), lambda old: merge_nonnull(old, df, keys, protect), df.schema)
+        return self.rewrite(name, "merge", lambda old: old.join(mine, keys, "left_semi"), lambda old: merge_nonnull(old, df, keys, protect), df.schema)
+
+    def append_new(self, name: str, df: DataFrame, keys: list[str]) -> int:
+        """The rows of `df` whose keys the table lacks, one for each key: to append the same rows again adds none."""
+
+        def fresh(old: DataFrame) -> DataFrame:
+            return df.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*df.columns)
+
+        def attempt(state: Version | None) -> int:
+            by = state.partition_by if state else []
+            rows = fresh(self._data(name, state.schema, state.files)) if state else df.dropDuplicates(keys)
+            return self._commit(name, state, "append", _joined(state.schema, df.schema) if state else df.schema, by, self._write(name, rows, by), {})
+
+        return self._replayed(name, attempt)
 
     def delete(self, name: str, where: Column) -> int:
         """Rows for which `where` holds go; null counts as not."""
         keep = ~F.coalesce(where, F.lit(False))
-        return self._rewrite(name, "delete", lambda old: old.filter(~keep), lambda old: old.filter(keep), self._state(name).schema)
+        return self.rewrite(name, "delete", lambda old: old.filter(~keep), lambda old: old.filter(keep), self._state(name).schema)
 
     # changes
 
