@@ -41,3 +41,11 @@ def first_entity(name: Column) -> Column:
 def md5_uuid(text: Column) -> Column:
     """The md5 of a text, written as a UUID."""
     return F.regexp_replace(F.md5(text.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def uuid5(namespace: str, text: Column) -> Column:
+    """The name-based UUID (version 5) of a text in a namespace, which is a UUID itself."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), text.cast("string").cast("binary")))
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1)
+    parts = [F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12)]
+    return F.concat_ws("-", *parts)

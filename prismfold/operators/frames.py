@@ -52,12 +52,22 @@ def top_n_other(totals: DataFrame, name: str, value: str, n: int, skip: str) ->
     return out.join(F.broadcast(total)).withColumn("pct", share(F.col(value), F.col("total_"))).drop("total_")
 
 
+def joined_total(df: DataFrame, value: Column, over: Sequence[str], name: str) -> DataFrame:
+    """`df` with the sum of `value` over the rows with its keys; null keys are a group of their own."""
+    totals = df.groupBy(*over).agg(F.sum(value).alias(name)).withColumnsRenamed({k: f"{k}_of_total" for k in over})
+    same = [df[k].eqNullSafe(totals[f"{k}_of_total"]) for k in over]
+    return df.join(totals, same, "left").drop(*[f"{k}_of_total" for k in over])
+
+
 def with_share(df: DataFrame, value: str, over: Sequence[str] = (), name: str = "pct", digits: int = 4) -> DataFrame:
-    """`df` with each row's share of the total of its group; the total of all rows is one row, sent to each task."""
+    """`df` with each row's share of the total of its group; the total of all rows is one row, sent to each task.
+
+    Totals combine in the map tasks to a row for each group and are joined back, so that no group meets in one task.
+    """
     if not over:
         total = df.agg(F.sum(value).alias("total_"))
         return df.join(F.broadcast(total)).withColumn(name, share(F.col(value), F.col("total_"), digits)).drop("total_")
-    return df.withColumn(name, share(F.col(value), F.sum(value).over(Window.partitionBy(*over)), digits))
+    return joined_total(df, F.col(value), over, "total_").withColumn(name, share(F.col(value), F.col("total_"), digits)).drop("total_")
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

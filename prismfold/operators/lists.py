@@ -46,7 +46,7 @@ def contains(column: Column, text: str | None, pattern: bool = False) -> Column:
     """Whether a name holds the text, in any case; as a pattern if asked for. None asks nothing."""
     if text is None:
         return F.lit(True)
-    return F.coalesce(F.lower(column).rlike(text.lower()) if pattern else F.contains(F.lower(column), F.lit(text.lower())), F.lit(False))
+    return F.coalesce(column.rlike("(?iu)" + text) if pattern else F.contains(F.lower(column), F.lit(text.lower())), F.lit(False))
 
 
 def update_where(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:

@@ -32,8 +32,10 @@ def infer_exposures(reports: DataFrame, holdings: DataFrame, *, total: float = 1
     rows = holdings.join(base.select("fund_id", "as_of_date", "alloc", "nav"), ["fund_id", "as_of_date"])
     worth = F.when(F.col("value") > 0, F.col("value").cast("double")).when(F.col("pct") > 0, F.col("pct") * F.col("nav")).otherwise(0.0)
     rows = rows.withColumn("worth", F.round(worth, 6).cast("decimal(28,6)"))
-    whole = F.sum("worth").over(Window.partitionBy("fund_id", "as_of_date")).cast("double")
-    denominator = F.coalesce(F.nullif(whole, F.lit(0.0)), F.lit(1.0)) if scale_to_nav else F.col("nav")
+    if scale_to_nav:
+        # a row for each report is joined back: no report's holdings meet in one task
+        rows = rows.join(rows.groupBy("fund_id", "as_of_date").agg(F.sum("worth").cast("double").alias("whole")), ["fund_id", "as_of_date"])
+    denominator = F.coalesce(F.nullif(F.col("whole"), F.lit(0.0)), F.lit(1.0)) if scale_to_nav else F.col("nav")
     known = rows.select("fund_id", "as_of_date", "holding_id", "company_id", (F.col("alloc") * F.col("worth").cast("double") / denominator).alias("exposure"), F.lit("reported").alias("exposure_type"))
     rest = base.filter("coverage < 1").select(
         "fund_id", "as_of_date", F.lit(None).cast("string").alias("holding_id"), F.lit(None).cast(holdings.schema["company_id"].dataType).alias("company_id"), (F.col("alloc") * (1 - F.col("coverage"))).alias("exposure"), F.lit("unknown").alias("exposure_type")

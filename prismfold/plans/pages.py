@@ -25,10 +25,10 @@ def _holding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""SELECT DISTINCT holding_id, company_name, fund_name, value::DOUBLE AS value FROM holdings JOIN dim_fund USING (fund_id) LEFT JOIN dim_company ON raw_id = dim_company.company_id
-WHERE source = '13f_filing' AND primary_country = 'GERMANY' AND value IS NOT NULL ORDER BY company_name ASC NULLS LAST, holding_id LIMIT 100 OFFSET 100""")
+WHERE source = '13f_filing' AND primary_country = 'NATION_3' AND value IS NOT NULL ORDER BY company_name ASC NULLS LAST, holding_id LIMIT 100 OFFSET 100""")
 def holdings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the list by filters and a sort key that a client names."""
-    asked = {"source": "13f_filing", "primary_country": "GERMANY", "primary_sector": None, "fund_id": None}
+    asked = {"source": "13f_filing", "primary_country": "NATION_3", "primary_sector": None, "fund_id": None}
     rows = L.filter_rows(_holding_rows(spark, sf_dir), asked, {"value": True}).select("holding_id", "company_name", "fund_name", F.col("value").cast("double").alias("value")).distinct()
     order = L.sort_keys({"value": "value", "company_name": "company_name", "fund_name": "fund_name"}, "company_name", "value", False, "holding_id")
     return O.page(rows, order, 2, 100)
