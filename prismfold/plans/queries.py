@@ -11,6 +11,7 @@ from prismfold.functions import names as N
 from prismfold.functions import values as V
 from prismfold.operators import frames as O
 from prismfold.operators import tables as T
+from prismfold.operators.quantiles import exact_quantiles
 from prismfold.plans import exposure as E
 from prismfold.plans import governance as G
 from prismfold.plans import silver as S
@@ -505,8 +506,17 @@ def taxonomy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.9), 6) AS p90, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1""", silver=False)
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return S.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile(q, 0.5), 6).alias("median"), F.round(F.percentile(q, 0.9), 6).alias("p90"), F.min(q).alias("least"), F.max(q).alias("most"))
+    found = exact_quantiles(S.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"median": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0})
+    return found.select("l_returnflag", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "least", "most")
+
+
+@_query("""SELECT l_linenumber, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS p1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1""", silver=False)
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly as many distinct values as rows: bands of sketches go down to a thousand rows before any are sorted."""
+    asked = {"p1": 0.01, "median": 0.5, "p99": 0.99}
+    found = exact_quantiles(S.table(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_extendedprice", asked, settle=1000)
+    return found.select("l_linenumber", "n", *[F.round(c, 6).alias(c) for c in asked])
 
 
 @_query("""SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1""", silver=False)
