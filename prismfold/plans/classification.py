@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismfold.functions.values import clamp01, is_instrument
-
-#: A provider takes names and the allowed values of each, and returns (value, confidence) for each.
-Provider = Callable[[list[str], list[list[str]]], list[tuple[str | None, float]]]
+from prismfold.plans.providers import Provider, ask
+from prismfold.sources.catalog import shared_folder
 
 
-def _ask(rows: DataFrame, provider: Provider, batch: int) -> DataFrame:
+def _ask(rows: DataFrame, provider: Provider, batch: int, folder: str) -> DataFrame:
     """company_id, answer and confidence for rows (company_id, company_name, allowed), `batch` names to a call."""
-    kind = rows.schema["company_id"].dataType.simpleString()
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                answers = provider(part["company_name"].tolist(), [list(a) for a in part["allowed"]])
-                yield pd.DataFrame({"company_id": part["company_id"].tolist(), "answer": [a for a, _ in answers], "confidence": [float(c) for _, c in answers]})
-
-    asked = rows.select("company_id", "company_name", "allowed")
-    told = asked.mapInPandas(call, f"company_id {kind}, answer string, confidence double").join(asked.select("company_id", "allowed"), "company_id")
-    valid = F.coalesce(F.array_contains("allowed", F.col("answer")), F.lit(False))
-    return told.select("company_id", F.when(valid, F.col("answer")).alias("answer"), F.when(valid, clamp01(F.col("confidence"))).otherwise(0.0).alias("confidence"))
+    asked = rows.select("company_id", F.col("company_name").alias("text"), "allowed")
+    return ask(asked, provider, folder, key="company_id", batch=batch).drop("error")
 
 
-def classify_companies(companies: DataFrame, done: DataFrame, taxonomy: DataFrame, provider: Provider, unknown: str, *, threshold: float = 0.70, batch: int = 20) -> DataFrame:
+def classify_companies(companies: DataFrame, done: DataFrame, taxonomy: DataFrame, provider: Provider, unknown: str, *, threshold: float = 0.70, batch: int = 20, folder: str | None = None) -> DataFrame:
     """company_id, taxonomy_type, node_id, confidence and model of companies that `done` (company_id) lacks.
 
     Instruments take the rule's sector with confidence 1. Others are asked for a sector and, where that is
     known with enough confidence, for one of its industries. An answer outside the allowed names is the unknown node
-    with confidence 0. `taxonomy`: sector, industry, by name.
+    with confidence 0. `taxonomy`: sector, industry, by name. Answers are recorded in `folder`, where a later run goes on.
     """
+    folder = folder or shared_folder(companies.sparkSession, "calls")
     todo = companies.join(done.select("company_id"), "company_id", "left_anti")
     rule = todo.filter(is_instrument(F.col("company_name")))
     pair = lambda kind, value: F.struct(F.lit(kind).alias("taxonomy_type"), F.lit(value).alias("node_id"))
@@ -45,10 +31,10 @@ def classify_companies(companies: DataFrame, done: DataFrame, taxonomy: DataFram
     by_rule = by_rule.select("company_id", "p.*", F.lit(1.0).alias("confidence"), F.lit("instrument_rule").alias("model"))
     sectors = taxonomy.agg(F.sort_array(F.collect_set("sector")).alias("allowed"))
     asked = todo.filter(~is_instrument(F.col("company_name"))).join(F.broadcast(sectors))
-    sector = _ask(asked, provider, batch).checkpoint()
+    sector = _ask(asked, provider, batch, f"{folder}/sector")
     industries = taxonomy.groupBy(F.col("sector").alias("answer")).agg(F.sort_array(F.collect_set("industry")).alias("allowed"))
     next_step = sector.filter(F.col("confidence") >= threshold).select("company_id", "answer").join(F.broadcast(industries), "answer").join(companies.select("company_id", "company_name"), "company_id")
-    industry = _ask(next_step, provider, batch).checkpoint()  # each company is asked once, whatever reads the answers
+    industry = _ask(next_step, provider, batch, f"{folder}/industry")
     label = lambda df, kind: df.select("company_id", F.lit(kind).alias("taxonomy_type"), F.coalesce("answer", F.lit(unknown)).alias("node_id"), "confidence", F.lit("provider").alias("model"))
     return by_rule.unionByName(label(sector, "sector")).unionByName(label(industry, "industry"))
 
