@@ -127,6 +127,20 @@ def _spans(found: Column, number: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end")))
 
 
+def _runs(spans: Column) -> Column:
+    """array<struct<low, high, spans>>: ordered spans in runs of about the root of their number, with the bounds of each."""
+    size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(spans)))).cast("int")
+    starts = F.filter(F.sequence(F.lit(1), F.size(spans) + 1), lambda i: ((i - 1) % size == 0) & (i <= F.size(spans)))
+    bounded = lambda run: F.struct(run[0]["start"].alias("low"), F.array_max(F.transform(run, lambda s: s["end"])).alias("high"), run.alias("spans"))
+    return F.transform(starts, lambda i: _bound(F.slice(spans, i, size), bounded))
+
+
+def _meets(token: Column, runs: Column) -> Column:
+    """Whether a token overlaps a span: only runs that reach over it are searched, so a text of n spans takes n times root n."""
+    overlaps = lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"])
+    return F.exists(runs, lambda r: (r["low"] < token["end"]) & (token["start"] < r["high"]) & F.exists(r["spans"], overlaps))
+
+
 def scan(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """The columns of `docs` but the text, and the names of three more: a row number, base spans (start, kind number,
     end) in order, and tokens (start, end, match, patterns, seed) that hold a digit or an @."""
@@ -141,11 +155,9 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, list[st
         F.array_sort(F.concat(*[_spans(base[k], i) for i, k in enumerate(KINDS[:4])])).alias(spans),
         _matches(F.col(given), _TOKEN, F.col(given).rlike("[0-9@]"), contexts=True).alias(found),
     )
-    token = lambda t: F.struct(
-        *[t[c].alias(c) for c in ("start", "end", "match", "patterns")],
-        F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed"),
-    )
-    return with_base.select(*kept, F.monotonically_increasing_id().alias(row), spans, F.transform(found, token).alias(found)), names[1:]
+    token = lambda t, runs: F.struct(*[t[c].alias(c) for c in ("start", "end", "match", "patterns")], _meets(t, runs).alias("seed"))
+    seeded = _bound(_runs(F.col(spans)), lambda runs: F.transform(found, lambda t: token(t, runs)))
+    return with_base.select(*kept, F.monotonically_increasing_id().alias(row), spans, seeded.alias(found)), names[1:]
 
 
 def _words_of(pattern: Column) -> Column:
@@ -156,9 +168,8 @@ def _words_of(pattern: Column) -> Column:
 def count_uses(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """words and uses: how often each word or pair of neighbouring words of `wanted` stands in the texts (text)."""
     words = F.split(F.trim(_spaced(F.lower("text"))), " +")
-    placed = texts.filter("text is not null").select(words.alias("all")).select("all", F.posexplode("all").alias("i", "one"))
-    pair = F.when(F.col("i") > 0, F.concat_ws(" ", F.get("all", F.col("i") - 1), "one"))
-    every = placed.select(F.explode(F.array("one", pair)).alias("words"))
+    neighbours = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    every = texts.filter("text is not null").select(F.explode(_bound(words, lambda w: F.concat(w, neighbours(w)))).alias("words"))
     return every.join(broadcast_if_small(wanted, "words"), "words", "left_semi").groupBy("words").agg(F.count("*").alias("uses"))
 
 

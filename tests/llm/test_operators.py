@@ -326,6 +326,18 @@ def test_personal_data_base(spark):
     assert personal_data.find_personal_data(empty(spark)).count() == 0
 
 
+def test_personal_data_in_a_text_of_100000_words(spark):
+    """A third of the words are e-mails; the time must not grow with the square of a text."""
+    words = [f"a{i}@b.org" if i % 3 == 0 else f"plain{i}" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x (a@b.org,c@d.org) 1.2.3.4")], "doc_id long, text string").repartition(1)
+    scanned, (_, base, found) = personal_data.scan(docs)
+    n = {r.doc_id: tuple(r)[1:] for r in scanned.select("doc_id", F.size(base), F.size(found), F.size(F.filter(found, lambda t: t["seed"]))).collect()}
+    emails = len(range(0, 100_000, 3))
+    assert n == {1: (emails, 100_000, emails), 2: (3, 2, 2)}
+    uses = personal_data.count_uses(docs, spark.createDataFrame([("plain1 plain2",), ("plain1",), ("x",), ("none",)], "words string"))
+    assert {r["words"]: r.uses for r in uses.collect()} == {"plain1 plain2": 1, "plain1": 1, "x": 1}
+
+
 def test_personal_data_finds_unseen_identifiers(spark):
     seeds = [f"please contact user{i}@mail.example.org today" for i in range(30)]
     docs = spark.createDataFrame(list(enumerate([*seeds, "please contact AB-4471-9920 today", "section 20240101x begins"])), "doc_id long, text string")
