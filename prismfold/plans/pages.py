@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from prismfold.operators import lists as L
 from prismfold.plans import merging as M
 from prismfold.plans import silver as S
 from prismfold.plans.queries import ORACLES, QUERIES, _day, _latest, _query
+from prismfold.sources.exports import export_rows, summary_metrics, with_resolution
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -34,6 +37,36 @@ def holdings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.page(rows, order, 2, 100)
 
 
+# the resolution log has a row for six of seven holdings
+_EXPORT = """, h AS (SELECT DISTINCT holding_id, fund_id, raw_id, company_id, as_of_date, value, pct FROM holdings),
+log AS (SELECT DISTINCT holding_id, CASE WHEN company_id IS NULL THEN 'unresolved' ELSE 'direct' END AS match_method, CASE WHEN company_id IS NOT NULL THEN 0.95 END AS match_confidence FROM h WHERE raw_id % 7 <> 0),
+rows AS (SELECT h.*, company_name, fund_name, primary_sector, primary_industry, primary_country, source, match_method, match_confidence, sum(value) OVER (PARTITION BY fund_id, as_of_date)::DOUBLE AS total
+  FROM h JOIN dim_fund USING (fund_id) LEFT JOIN dim_company ON raw_id = dim_company.company_id LEFT JOIN log USING (holding_id) WHERE source <> 'pdf_document')
+"""
+
+
+def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = S.holdings(spark, sf_dir).select("holding_id", "fund_id", "raw_id", "company_id", "as_of_date", "value", "pct").distinct()
+    found = F.col("company_id").isNotNull()
+    log = held.filter("raw_id % 7 <> 0").select("holding_id", F.when(found, "direct").otherwise("unresolved").alias("match_method"), F.when(found, 0.95).alias("match_confidence")).distinct()
+    named = held.drop("company_id").join(S.dim_fund(spark, sf_dir), "fund_id").join(S.dim_company(spark, sf_dir).withColumnRenamed("company_id", "raw_id"), "raw_id", "left")
+    renamed = named.withColumnsRenamed({"primary_sector": "sector", "primary_industry": "industry", "primary_country": "country", "pct": "extraction_confidence"})
+    return with_resolution(renamed.filter("source <> 'pdf_document'"), log)
+
+
+@_query(_EXPORT + """SELECT coalesce(company_name, '') AS "Company Name", fund_name AS "Fund", coalesce(primary_sector, '') AS "Sector", coalesce(primary_industry, '') AS "Industry", coalesce(primary_country, '') AS "Country",
+value::DOUBLE AS "Reported Value (USD)", CASE WHEN total > 0 THEN round(value::DOUBLE / total * 100, 4) END AS "% of Fund", strftime(as_of_date, '%Y-%m-%d') AS "As of Date", source AS "Source",
+pct::DOUBLE AS "Extraction Confidence", coalesce(match_method, '') AS "Match Method", match_confidence::DOUBLE AS "Match Confidence" FROM rows""")
+def holdings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All holdings of two sources in the columns of an export, with how their company was found."""
+    return export_rows(_export_rows(spark, sf_dir))
+
+
+@_query(_EXPORT + """SELECT 'Total Holdings' AS metric, count(*)::VARCHAR AS value FROM rows UNION ALL SELECT 'Total AUM (USD)', sum(value)::DECIMAL(38,2)::VARCHAR FROM rows UNION ALL SELECT 'Export Date', '2000-01-31'""")
+def export_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_metrics(_export_rows(spark, sf_dir), dt.date(2000, 1, 31))
+
+
 @_query(""", s AS (SELECT DISTINCT holding_id, scaled FROM scaled), h AS (SELECT DISTINCT holding_id, fund_id, value FROM holdings)
 SELECT fund_id, count(*) AS n, count(scaled) AS n_scaled, sum(coalesce(scaled, value, 0)::DECIMAL(20,4))::DOUBLE AS effective FROM h LEFT JOIN s USING (holding_id) GROUP BY 1""")
 def holdings_with_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

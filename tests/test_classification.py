@@ -1,8 +1,11 @@
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from prismfold.plans.classification import classify_companies, classify_countries, map_sectors, match_folders, write_back
 from prismfold.sources.catalog import use_checkpoints
-from prismfold.sources.exports import holdings_csv, summary_frames
+from prismfold.sources.exports import EXPORT_COLUMNS, NO_VALUE, export_rows, holdings_csv, summary_frames, summary_metrics, with_resolution
 from prismfold.sources.synthetic import synthetic_holdings
 
 
@@ -61,3 +64,20 @@ def test_exports_and_synthetic_data(spark, tmp_path):
     assert {r.total for r in frames["By fund"].collect()} == {"N/A"}
     holdings_csv(a.limit(3), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+
+
+def test_export_rows_shares_nulls_and_resolution_log(spark, tmp_path):
+    schema = "holding_id string, fund_id int, fund_name string, company_name string, sector string, industry string, country string, value decimal(18,2), as_of_date date, source string, extraction_confidence double"
+    day, none = dt.date(2024, 3, 31), [None] * 4
+    rows = [("a", 1, "F", "A", "S", "I", "C", 30, day, "x", 0.9), ("b", 1, "F", *none, 10, day, "x", None), ("c", 1, "F", *none, None, day, "x", None), ("d", 2, None, *none, 0, None, None, None)]
+    log = spark.createDataFrame([("a", "direct", 0.95), ("b", "unresolved", None)], "holding_id string, match_method string, match_confidence double")
+    held = spark.createDataFrame([(*r[:7], None if r[7] is None else Decimal(r[7]), *r[8:]) for r in rows], schema)
+    out = export_rows(with_resolution(held, log))
+    assert out.columns == list(EXPORT_COLUMNS)
+    got = sorted(tuple(r) for r in out.select("Fund", "Company Name", F.coalesce("Reported Value (USD)", F.lit(-1.0)), F.coalesce("% of Fund", F.lit(-1.0)), "As of Date", "Match Method").collect())
+    assert got == [("", "", 0.0, -1.0, "", ""), ("F", "", -1.0, -1.0, "2024-03-31", ""), ("F", "", 10.0, 25.0, "2024-03-31", "unresolved"), ("F", "A", 30.0, 75.0, "2024-03-31", "direct")]
+    assert [tuple(r) for r in summary_metrics(held, dt.date(2024, 5, 1)).collect()] == [("Total Holdings", "4"), ("Total AUM (USD)", "40.00"), ("Export Date", "2024-05-01")]
+    assert summary_metrics(held.limit(0), day).collect()[1].value == NO_VALUE and export_rows(with_resolution(held.limit(0), log)).count() == 0
+    holdings_csv(out, str(tmp_path / "out"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sum(x == ",".join(EXPORT_COLUMNS) for x in lines) >= 1 and ",F,,,,,,2024-03-31,x,,," in lines
