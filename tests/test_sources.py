@@ -1,7 +1,9 @@
+import json
+
 from pyspark.sql import functions as F
 
 from prismfold.sources.catalog import Catalog
-from prismfold.sources.filings import denomination, document_type, filing_list, new_files, read_info_tables, schedule_holdings, table_rows
+from prismfold.sources.filings import denomination, document_type, filing_list, filings_by_filer, info_table_holdings, new_files, read_info_tables, schedule_holdings, table_rows
 from prismfold.streaming.feeds import ingest, windowed_counts
 
 XML = """<?xml version="1.0"?><ns1:informationTable xmlns:ns1="http://x"><ns1:infoTable><ns1:nameOfIssuer>ACME</ns1:nameOfIssuer>
@@ -21,6 +23,35 @@ def test_filing_list_takes_the_exact_form(spark):
     assert [r.accessionNumber for r in filing_list(df, "body").collect()] == ["3", "1"]
 
 
+def listing(rows, files=()):
+    names = ["accessionNumber", "form", "filingDate", "reportDate", "primaryDocument"]
+    return json.dumps({"filings": {"recent": {n: [r[i] for r in rows] for i, n in enumerate(names)}, "files": [{"name": f} for f in files]}})
+
+
+def test_history_pages_are_followed_while_filings_are_few(spark):
+    row = lambda acc, report, form="13F-HR": (acc, form, "2020-01-01", report, "x")
+    index = [
+        ("one", listing([row("a", "2024-03-31"), row("b", "2024-06-30", "13F-HR/A")], ["p1", "p2", "p3"])),
+        ("two", listing([row("c", "2024-03-31"), row("d", "2023-12-31"), row("e", "")], ["p1"])), ("none", "no json"), ("null", None), ("bare", listing([], ["missing"])),
+    ]
+    pages = [("p1", listing([row("f", "2023-03-31"), row("g", "2023-06-30", "10-K")])), ("p2", listing([row("h", "2025-03-31"), row("i", "2022-03-31")])), ("p3", listing([row("j", "2026-03-31")]))]
+    schema = "string, body string"
+    got = filings_by_filer(spark.createDataFrame(index, "cik " + schema), spark.createDataFrame(pages, "name " + schema), newest=3)
+    # the third page is not read, as two pages gave enough; the second is whole, so its newer filing counts
+    assert sorted((r.cik, r.reportDate, r.accessionNumber) for r in got.collect()) == [
+        ("one", "2023-03-31", "f"), ("one", "2024-03-31", "a"), ("one", "2025-03-31", "h"), ("two", "2020-01-01", "e"), ("two", "2023-12-31", "d"), ("two", "2024-03-31", "c"),
+    ]
+
+
+def test_info_tables_with_their_filing(spark):
+    plain = "<informationTable><infoTable><nameOfIssuer>B</nameOfIssuer><cusip></cusip><value>2</value></infoTable></informationTable>"
+    rows = [("r1", "2024-03-31", XML.split("?>")[1]), ("r2", "2024-06-30", plain), ("r3", "2024-06-30", "<broken"), ("r4", None, None)]
+    found = info_table_holdings(spark.createDataFrame(rows, "fund_report_id string, period string, body string"), 1000)
+    got = sorted((r.fund_report_id, r.row_number, r.raw_company_name, r.cusip, r.reported_value_usd, r.as_of_date, r.extraction_confidence) for r in found.collect())
+    assert got == [("r1", 1, "ACME", "00123", 1500000.0, "2024-03-31", 1.0), ("r1", 2, "ZED", "9", 0.0, "2024-03-31", 1.0), ("r2", 1, "B", None, 2000.0, "2024-06-30", 1.0)]
+    assert found.select("reported_holding_id").distinct().count() == 3
+
+
 def test_denomination_votes(spark):
     texts = ["(in thousands) (in thousands) (in millions)", "(in millions) (in thousands)", "none", "amounts in thousands"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
