@@ -55,7 +55,7 @@ def ingested_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # an information table for each order: a third with prefixed names, values with commas, or none that is a number
-@_query("""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_partkey, l_quantity::BIGINT * 1000 + l_linenumber AS v, l_linenumber FROM lineitem)
+@_query("""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, l_partkey, l_quantity::BIGINT * 1000 + l_linenumber AS v, l_linenumber FROM lineitem)
 SELECT md5('13f_' || l_orderkey || '_' || CASE WHEN l_partkey % 5 = 0 THEN '' ELSE lpad(l_partkey::VARCHAR, 9, '0') END || '_' || i) AS digest, l_orderkey::VARCHAR AS fund_report_id, i::INT AS row_number, 'Issuer ' || l_partkey AS raw_company_name,
 CASE WHEN l_partkey % 5 <> 0 THEN lpad(l_partkey::VARCHAR, 9, '0') END AS cusip, (CASE WHEN l_linenumber = 7 THEN 0 ELSE v * 1000 END)::DOUBLE AS reported_value_usd, strftime(o_orderdate, '%Y-%m-%d') AS as_of_date
 FROM r JOIN orders ON l_orderkey = o_orderkey""", silver=False)
@@ -65,7 +65,7 @@ def information_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda name, value: F.concat(F.lit("<"), prefix, F.lit(name + ">"), value, F.lit("</"), prefix, F.lit(name + ">"))
     value = F.when(n == 7, "n/a").otherwise(F.format_number(F.col("l_quantity").cast("long") * 1000 + n, 0))
     row = tag("infoTable", F.concat(tag("nameOfIssuer", F.concat(F.lit("Issuer "), key)), tag("cusip", F.when(key % 5 == 0, "").otherwise(F.lpad(key.cast("string"), 9, "0"))), tag("value", value)))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))), lambda r: r["row"]), "")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("row")))), lambda r: r["row"]), "")
     bodies = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("rows"))
     body = F.concat(F.lit("<"), prefix, F.lit('informationTable xmlns:ns1="http://x">'), "rows", F.lit("</"), prefix, F.lit("informationTable>"))
     orders = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("period"))
