@@ -8,12 +8,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a word on the other side that one task takes; more are dealt to several.
+from prismfold.sources.catalog import use_checkpoints
+
+#: Right rows of a signature that one task takes; more are dealt to several.
 HOT = 10_000
 
 #: Edges that one task settles.
 ONE_TASK = 200_000
 
+#: Words of a signature at the most.
+MOST = 4
+
+#: Signatures and pairs of them that one task takes.
+TASK_PAIRS = 1_000_000
+
+#: A counted frame of at most so many rows is broadcast.
+FEW = 200_000
+
 _EPS = 1e-9
 
 
@@ -22,65 +33,129 @@ def _least(size: Column, share: float) -> Column:
     return F.ceil(size * F.lit(share) - F.lit(_EPS)).cast("int")
 
 
-def _prefixes(df: DataFrame, order: DataFrame, share: float, side: str) -> DataFrame:
-    """A row for each of the rarest words of a set, of which two similar sets share one: w, f, side_id, side_size, side_at."""
-    words = df.select("id", F.explode("tokens").alias("w")).join(order, "w")
-    sets = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
-    size = F.size("s")
-    first = sets.select(F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"), F.posexplode(F.slice("s", F.lit(1), size - _least(size, share) + 1)).alias(f"{side}_at", "p"))
-    return first.select("p.w", "p.f", f"{side}_id", f"{side}_size", f"{side}_at")
+def _joinable(df: DataFrame) -> DataFrame:
+    """A stored frame for the right side of a join: broadcast if it has few rows, else merged. Estimates by the size of
+    compressed files would broadcast what a driver cannot hold."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
+def _counts(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias(name))
 
 
-def _candidates(a: DataFrame, b: DataFrame, threshold: float, which: Column | None = None) -> DataFrame:
-    """left_id and right_id of the pairs that share a prefix word and may share enough.
+def _sets(df: DataFrame, order: DataFrame) -> DataFrame:
+    """id, size, words from the rarest to the most frequent, and lone: how many of them, all in front, no other set can share."""
+    words = df.select("id", F.explode("tokens").alias("w")).join(_joinable(order), "w", "left")
+    sets = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("s"))
+    lone = F.size(F.filter("s", lambda x: x["f"] == 0))
+    return sets.select("id", F.size("s").alias("size"), F.col("s.w").alias("words"), lone.alias("lone")).checkpoint()
 
-    The first shared word leaves no more than the rest of either set behind it, which bounds what they share. A frequent
-    word's left rows are dealt to as many keys as keep its right rows from meeting all of them in one task.
+
+def _fronts(sets: DataFrame, share: float, level: int, most: int) -> DataFrame:
+    """The sets that have signatures of `level` words, with the words (front) that these are taken from.
+
+    Two sets that share n words have the first k of these among the first size - n + k of either. Where n must reach `most`,
+    k is that; pairs of small sets, which need fewer words, meet at the level that they need.
+    """
+    least = _least(F.col("size"), share)
+    wanted = F.col("size") >= level if level == most else (least <= level) & (F.col("size") >= level)
+    upto = F.least(F.col("size"), F.col("size") - least + level)
+    return sets.filter(wanted).select("id", "size", "lone", F.slice("words", F.col("lone") + 1, F.greatest(upto - F.col("lone"), F.lit(0))).alias("front"))
+
+
+def _signatures(sets: DataFrame, share: float, most: int, side: str) -> DataFrame:
+    """sig, the hash of `most` words at the most, with side_id, side_size, and side_rest: what a pair that has them as its
+    first shared words can share."""
+    out = None
+    for level in range(1, most + 1):
+        found = F.transform("front", lambda w, i: F.struct(F.xxhash64(w).alias("sig"), i.alias("at")))
+        for _ in range(level - 1):
+            longer = lambda x: F.transform(F.slice("front", x["at"] + 2, F.size("front")), lambda w, j: F.struct(F.xxhash64(x["sig"], w).alias("sig"), (x["at"] + 1 + j).alias("at")))
+            found = F.flatten(F.transform(found, longer))
+        rows = _fronts(sets, share, level, most).select("id", "size", "lone", F.explode(found).alias("p"))
+        rest = F.col("size") - 1 - F.col("lone") - F.col("p.at") + level
+        rows = rows.select("p.sig", F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size"), rest.alias(f"{side}_rest"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _n_signatures(sets: DataFrame, share: float, most: int) -> int:
+    total = 0
+    for level in range(1, most + 1):
+        ways = F.lit(1.0)
+        for i in range(level):
+            ways = ways * (F.size("front") - i) / (i + 1)
+        total += _fronts(sets, share, level, most).agg(F.sum(ways)).first()[0] or 0
+    return int(total)
+
+
+def _candidates(a: DataFrame, b: DataFrame, shares: tuple[float, float], threshold: float, which: Column | None = None) -> DataFrame:
+    """left_id and right_id of the pairs of sets that share a signature and may share enough.
+
+    Signatures of one word are few, but those of frequent words meet in many pairs; each word more makes more of them and
+    fewer pairs. As many words are taken as keep both together least, by exact counts. A frequent signature's left rows are
+    dealt to as many keys as keep its right rows from meeting all of them in one task.
     """
-    parts = (F.col("f") / HOT).cast("int") + 1
-    a = a.withColumn("salt", F.pmod(F.xxhash64("left_id"), parts)).drop("f")
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("f")
+    best = None
+    for most in range(1, MOST + 1):
+        rows = _n_signatures(a, shares[0], most) + _n_signatures(b, shares[1], most)
+        if best and rows >= best[0]:
+            break
+        left, right = _signatures(a, shares[0], most, "left"), _signatures(b, shares[1], most, "right")
+        met = left.groupBy("sig").agg(F.count("*").alias("n_")).join(right.groupBy("sig").agg(F.count("*").alias("m_")).hint("merge"), "sig").checkpoint()
+        pairs = met.agg(F.sum(F.col("n_") * F.col("m_"))).first()[0] or 0
+        if best and rows + pairs >= best[0]:
+            break
+        best = rows + pairs, left, right, met
+        if pairs <= rows:
+            break
+    cost, left, right, met = best
+    # at most a row for each HOT right rows
+    hot = F.broadcast(met.filter(F.col("m_") > HOT).select("sig", (F.col("m_") / HOT).cast("long").alias("more")))
+    parts = F.coalesce("more", F.lit(0)) + 1
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, min(5000, -(-cost // TASK_PAIRS)))
+    left = left.join(hot, "sig", "left").withColumn("salt", F.pmod(F.xxhash64("left_id"), parts)).drop("more").repartition(tasks, "sig", "salt")
+    right = right.join(hot, "sig", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("more").repartition(tasks, "sig", "salt")
     needed = F.ceil((F.col("left_size") + F.col("right_size")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
-    enough = F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at")) >= needed
+    enough = F.least("left_rest", "right_rest") >= needed
     sizes = (F.col("left_size") >= _least(F.col("right_size"), threshold)) & (F.col("right_size") >= _least(F.col("left_size"), threshold))
-    pairs = a.join(b, ["w", "salt"]).filter(sizes & enough & (which if which is not None else F.lit(True)))
+    pairs = left.join(right.hint("merge"), ["sig", "salt"]).filter(sizes & enough & (which if which is not None else F.lit(True)))
     return pairs.select("left_id", "right_id").distinct()
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets, fetched by id, reach the threshold."""
-    both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("tokens").alias("l")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("tokens").alias("r")), "right_id")
-    common = F.size(F.array_intersect("l", "r"))
-    score = common / (F.size("l") + F.size("r") - common)
+    l, r = (x.select(F.col("id").alias(f"{side}_id"), F.col("words").alias(side)).hint("merge") for x, side in ((left, "left"), (right, "right")))
+    both = pairs.join(l, "left_id").join(r, "right_id")
+    common = F.size(F.array_intersect("left", "right"))
+    score = common / (F.size("left") + F.size("right") - common)
     return both.select("left_id", "right_id", score.alias("score")).filter(F.col("score") >= threshold - _EPS)
 
 
-def _order(words: DataFrame) -> DataFrame:
-    return words.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-
-
 def token_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id and score of all pairs (id, tokens) whose Jaccard similarity reaches the threshold.
 
-    An inverted index instead of a nested loop: rare-first prefixes are joined on the word, sizes and places bound the
-    pairs, and the sets of those that remain are fetched by id and compared. Ids are unique on each side; empty sets are
-    similar to nothing.
+    An inverted index instead of a nested loop: rare-first signatures are joined, sizes and places bound the pairs, and the
+    sets of those that remain are fetched by id and compared. Ids are unique on each side; empty sets are similar to nothing.
     """
-    order = _order(left.unionByName(right, allowMissingColumns=True).select("tokens"))
-    pairs = _candidates(_prefixes(left, order, threshold, "left"), _prefixes(right, order, threshold, "right"), threshold)
-    return _verified(pairs, left, right, threshold)
+    use_checkpoints(left.sparkSession)
+    left, right = left.select("id", "tokens").checkpoint(), right.select("id", "tokens").checkpoint()
+    order = _counts(left, "n_").join(_counts(right, "m_").hint("merge"), "w").select("w", (F.col("n_") + F.col("m_")).alias("f")).checkpoint()
+    a, b = _sets(left, order), _sets(right, order)
+    return _verified(_candidates(a, b, (threshold, threshold), threshold), a, b, threshold)
 
 
 def similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
     """a, b and score of all pairs a < b of one table (id, tokens) whose Jaccard similarity reaches the threshold.
 
-    Each pair is met in one direction only, with the smaller set on the left: its prefix is the shorter one that sets of
+    Each pair is met in one direction only, with the smaller set on the left: its front is the shorter one that sets of
     its own size and larger allow.
     """
-    order = _order(df)
-    short = _prefixes(df, order, 2 * threshold / (1 + threshold), "left")
+    use_checkpoints(df.sparkSession)
+    df = df.select("id", "tokens").checkpoint()
+    sets = _sets(df, _counts(df, "f").filter("f > 1").checkpoint())
     smaller = F.struct("left_size", "left_id") < F.struct("right_size", "right_id")
-    found = _verified(_candidates(short, _prefixes(df, order, threshold, "right"), threshold, smaller), df, df, threshold)
+    found = _verified(_candidates(sets, sets, (2 * threshold / (1 + threshold), threshold), threshold, smaller), sets, sets, threshold)
     return found.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "score")
 
 

@@ -71,3 +71,25 @@ def test_a_component_of_a_hundred_thousand_names(spark, monkeypatch):
     edges = {(i, i + 1) for i in range(99_999)} | {tuple(sorted(r.sample(range(100_000), 2))) for _ in range(30_000)}
     df = spark.createDataFrame(sorted(edges), "a long, b long")
     assert {x.id: x.seed for x in greedy_stars(df, save).collect()} == in_order(edges)
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_signatures_of_any_width_find_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(sim, "MOST", most)
+    x = sets(5, 150)
+    df = spark.createDataFrame(list(x.items()), "id long, tokens array<string>")
+    for threshold in (0.4, 0.75):
+        got = {(r.a, r.b) for r in similar_pairs(df, threshold).collect()}
+        assert got == {(i, j) for i in x for j in x if i < j and x[i] and similarity(x[i], x[j]) >= threshold}
+
+
+def test_names_of_few_words_meet_in_few_pairs(spark, monkeypatch):
+    """Eight words a place and six that all share: a single word of each name is in an eighth of all names."""
+    x = {i: [f"{p}{(i >> 3 * p) % 8}" for p in range(5)] + list("uvwxyz") for i in (k * 7919 % 32768 for k in range(2000))}
+    df = spark.createDataFrame(list(x.items()), "id long, tokens array<string>")
+    tried = []
+    whole = sim._verified
+    monkeypatch.setattr(sim, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or whole(pairs, *rest))
+    found = {(r.a, r.b) for r in similar_pairs(df, 0.8).collect()}
+    assert found == {(i, j) for i in x for j in x if i < j and sum(p == q for p, q in zip(x[i][:5], x[j][:5])) >= 4}
+    assert tried[0] < 10 * len(x)
