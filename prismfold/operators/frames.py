@@ -21,6 +21,14 @@ def with_latest(df: DataFrame, key: str | Sequence[str], date: str) -> DataFrame
     return df.join(newest, [*keys, date], "left_semi")
 
 
+def join_dealt(df: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left join on a key that may be null: such rows, which match nothing, are dealt out instead of meeting in one task."""
+    # on the right a zero that is no literal, as that would be taken out of the join's keys
+    zero = right.withColumn("deal_", F.pmod(F.xxhash64(key), F.lit(1)))
+    dealt = df.withColumn("deal_", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(4096))).otherwise(F.lit(0)).cast("long"))
+    return dealt.join(zero, [key, "deal_"], "left").drop("deal_")
+
+
 def top_n(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie).asc_nulls_last()).limit(n)
 

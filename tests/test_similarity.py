@@ -93,3 +93,17 @@ def test_names_of_few_words_meet_in_few_pairs(spark, monkeypatch):
     found = {(r.a, r.b) for r in similar_pairs(df, 0.8).collect()}
     assert found == {(i, j) for i in x for j in x if i < j and sum(p == q for p, q in zip(x[i][:5], x[j][:5])) >= 4}
     assert tried[0] < 10 * len(x)
+
+
+
+def test_resolution_broadcasts_nothing_unmeasured(spark, tmp_path):
+    from prismfold.plans.resolution import resolve_names
+
+    companies = spark.createDataFrame([(1, "Red Ring Works"), (2, "Blue Bolt Works")], "company_id long, company_name string")
+    raw = spark.createDataFrame([(1, "red ring works"), (2, None), (3, "Nobody Knows")], "id long, name string")
+    frames = {"raw": raw, "companies": companies, "aliases": spark.createDataFrame([(2, "bb")], "company_id long, alias string")}
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    out = resolve_names(*[spark.read.parquet(f"{tmp_path}/{name}") for name in frames])
+    assert "BroadcastHashJoin [name" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [key" not in plan
+    assert {(r.id, r.company_id, r.method) for r in out.collect()} == {(1, 1, "direct"), (2, None, "unresolved"), (3, None, "unresolved")}
