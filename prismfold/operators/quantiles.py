@@ -21,6 +21,13 @@ MARGIN = 0.03
 #: Steps between the values that are taken from a sketch: from the least, 0, to the greatest, STEPS.
 STEPS = 64
 
+#: Bands that are sent to each task; more are joined by a shuffle.
+FEW = 10_000
+
+
+def _few(bands: DataFrame) -> DataFrame:
+    return F.broadcast(bands) if bands.count() <= FEW else bands
+
 
 def _steps(value: Column) -> Column:
     """The least value, the greatest, and those at even ranks between, by a sketch; null without values."""
@@ -49,7 +56,7 @@ def _narrowed(values: DataFrame, bands: DataFrame, groups: list[str]) -> DataFra
     """The bands after one pass: with their value, if a bound is the one, else smaller, else with a doubled margin."""
     middle = (F.col("place_") - F.col("below_") + 0.5) / F.col("inside_")
     tried = bands.withColumns({"from_": _step(F.floor((middle - F.col("margin_")) * STEPS)), "to_": _step(F.ceil((middle + F.col("margin_")) * STEPS))})
-    rows = values.alias("v").join(tried.drop("steps_").alias("b"), _same(groups) & _inside())
+    rows = values.alias("v").join(_few(tried.drop("steps_")).alias("b"), _same(groups) & _inside())
     value, low, high = F.col("v.value_"), F.col("b.from_"), F.col("b.to_")
     between = (value > low) & (value < high)
     sums = rows.groupBy(*[F.col(f"b.`{g}`") for g in groups], F.col("b.place_").alias("spot_")).agg(
@@ -108,7 +115,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, fractions: dic
         done = done.unionByName(more)
     # what is left of a band is counted by value; its groups hold at most `settle` rows
     left = done.filter("value_ is null").drop("value_")
-    counted = values.alias("v").join(left.alias("b"), _same(groups) & _inside()).groupBy(*[F.col(f"b.`{g}`") for g in groups], "place_", "below_", "v.value_").agg(F.count("*").alias("n_"))
+    counted = values.alias("v").join(_few(left).alias("b"), _same(groups) & _inside()).groupBy(*[F.col(f"b.`{g}`") for g in groups], "place_", "below_", "v.value_").agg(F.count("*").alias("n_"))
     listed = counted.groupBy(*groups, "place_", "below_").agg(F.array_sort(F.collect_list(F.struct("value_", "n_"))).alias("list_"))
     empty = F.struct(F.col("below_").alias("sum"), none.alias("found"))
 

@@ -3,7 +3,9 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
+from prismfold.operators import quantiles
 from prismfold.plans.queries import ORACLES
 
 
@@ -26,3 +28,16 @@ def test_shares_just_below_a_tie_round_as_sql_does(spark, tmp_path):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = sorted(map(tuple, known_share_gate(spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(ORACLES["known_share_gate"]).fetchall()) and len(got) > 3000
+
+
+def test_values_of_few_groups_are_not_shuffled_by_group(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = quantiles.exact_quantiles(df, ["g"], "v", {"m": 0.5}, settle=100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: (r.n, r.m) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {g: (1000, g + 1498.5) for g in range(3)}
+    assert "BroadcastHashJoin" in plan
