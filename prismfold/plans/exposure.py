@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismfold.operators.frames import share_trend
+from prismfold.operators.frames import join_dealt, share_trend
 from prismfold.sources.catalog import Catalog
 
 UNALLOCATED = "UNALLOCATED / UNKNOWN"
@@ -81,7 +81,9 @@ def resolve_taxonomy(exposures: DataFrame, classified: DataFrame, by_text: DataF
     company_id, text_node; `company`: company_id, own_node. A null company is unknown with confidence 0.
     """
     c = classified.select("company_id", F.col("node_id").alias("ai_node"), F.col("confidence").alias("ai_confidence"))
-    rows = exposures.join(c, "company_id", "left").join(by_text, "company_id", "left").join(company, "company_id", "left")
+    # the companies' tables meet first, so that the exposures are joined once
+    told = c.join(by_text, "company_id", "full").join(company, "company_id", "full")
+    rows = join_dealt(exposures, told, "company_id")
     node = F.coalesce("ai_node", "text_node", "own_node", F.lit(unknown))
     confidence = F.when(F.col("ai_node").isNotNull(), F.col("ai_confidence")).when(F.col("text_node").isNotNull(), text_confidence).when(F.col("own_node").isNotNull(), 1.0).otherwise(0.0)
     return rows.withColumn("node_id", node).withColumn("confidence", confidence).drop("ai_node", "ai_confidence", "text_node", "own_node")

@@ -6,6 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from prismfold.operators import quantiles
+from prismfold.operators.frames import join_dealt
+from prismfold.plans import exposure
 from prismfold.plans.queries import ORACLES
 
 
@@ -41,3 +43,20 @@ def test_values_of_few_groups_are_not_shuffled_by_group(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {g: (1000, g + 1498.5) for g in range(3)}
     assert "BroadcastHashJoin" in plan
+
+
+def test_null_keys_do_not_meet_in_one_task(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("company_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        told = spark.range(0, 2000, 20).select(F.col("id").alias("company_id"), F.lit("n").alias("node_id"), F.lit(0.5).alias("confidence"))
+        by_text, own = (told.select("company_id", F.col("node_id").alias(c)).limit(0) for c in ("text_node", "own_node"))
+        out = exposure.resolve_taxonomy(rows, told, by_text, own, "unknown").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.id: r.node_id for r in out} == {i: "n" if i % 20 == 0 else "unknown" for i in range(2000)} and len(out) == 2000
+    nulls = [r.task for r in out if r.company_id is None]
+    assert max(nulls.count(t) for t in set(nulls)) < 0.5 * len(nulls)
+    assert join_dealt(rows, told, "company_id").columns == ["company_id", "id", "node_id", "confidence"]
