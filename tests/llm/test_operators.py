@@ -645,3 +645,30 @@ def test_hot_lists_link_as_lists_do(spark):
                 lead = {k: lo if v == hi else v for k, v in lead.items()}
     same = Counter(lead.values())
     assert told[0] == told[1] == {(i, 0, v) for i, v in lead.items() if same[v] > 1}
+
+
+def test_lines_with_one_opening_are_not_verified_pair_by_pair(spark, monkeypatch):
+    """A hot list of lines just below the similarity: the histograms of their shingles rule out nearly all pairs."""
+    r = random.Random(5)
+    opening = prose(52, 40)[:92]
+    rows = [(i, opening + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))) for i in range(200)]
+    rows.append((500, rows[7][1][:-1] + "#"))  # links with its original
+    seen, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, percent: seen.append(pairs.count()) or verified(pairs, percent))
+    told = {(x.doc, x.first_doc) for x in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told == {(7, 7), (500, 7)}
+    assert sum(seen) < 6000  # of 20,100 pairs
+
+
+def test_histograms_rule_out_no_pair_that_links():
+    r = random.Random(6)
+    lines = [prose(i, 12) for i in range(30)]
+    lines += ["".join(r.choice("ab#") if r.random() < 0.04 else c for c in t) for t in lines for _ in range(4)] + ["ab", "x" * 2000]
+    counts = np.frombuffer(b"".join(map(line_dedup.histogram, lines)), np.uint8).reshape(len(lines), -1)
+    linked = 0
+    for i in range(len(lines)):
+        common, union = line_dedup.common_shingles([lines[i]] * len(lines), lines)
+        links = common * 100 >= union * 80
+        linked += links.sum()
+        assert line_dedup.leave_room(np.repeat(counts[i : i + 1], len(lines), 0), counts, 80)[links].all()
+    assert linked > 1.5 * len(lines)
