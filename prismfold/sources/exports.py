@@ -32,10 +32,11 @@ def with_resolution(holdings: DataFrame, log: DataFrame) -> DataFrame:
     return holdings.join(log.select("holding_id", "match_method", "match_confidence"), "holding_id", "left")
 
 
-def export_rows(rows: DataFrame) -> DataFrame:
+def export_rows(rows: DataFrame, summed: DataFrame | None = None) -> DataFrame:
     """The columns of an export. Missing texts are empty, missing numbers null; the share is that of the value in the sum of its
-    fund and day among these rows, null without a value or a sum above 0."""
-    sums = rows.groupBy(F.col("fund_id").alias("f_"), F.col("as_of_date").alias("d_")).agg(F.sum("value").alias("sum_"))
+    fund and day among these rows, null without a value or a sum above 0. `summed` may give the same rows with fewer columns
+    (fund_id, as_of_date, value), from before a join that neither adds nor drops any."""
+    sums = (rows if summed is None else summed).groupBy(F.col("fund_id").alias("f_"), F.col("as_of_date").alias("d_")).agg(F.sum("value").alias("sum_"))
     joined = rows.join(sums, F.col("fund_id").eqNullSafe(F.col("f_")) & F.col("as_of_date").eqNullSafe(F.col("d_")), "left")
     share = F.when(F.col("sum_") > 0, F.round(F.col("value").cast("double") / F.col("sum_").cast("double") * 100, 4))
     numbers = {"value": F.col("value").cast("double"), "pct": share, "extraction_confidence": F.col("extraction_confidence").cast("double"), "match_confidence": F.col("match_confidence").cast("double")}

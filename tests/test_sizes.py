@@ -78,3 +78,11 @@ def test_countries_are_counted_without_copies_or_sorts_of_the_holdings(spark, sf
 
     plan = _plan(spark, country_by_surface, sf_dir)
     assert "Expand" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_export_deals_the_holdings_once_by_holding(spark, sf_dir):
+    from prismfold.plans.pages import holdings_export
+
+    lines = _plan(spark, holdings_export, sf_dir).split("\n")
+    dealt = [x for x in lines if "Exchange hashpartitioning(holding_id" in x]
+    assert sum("ReusedExchange" not in x for x in dealt) == 1
