@@ -672,3 +672,18 @@ def test_histograms_rule_out_no_pair_that_links():
         linked += links.sum()
         assert line_dedup.leave_room(np.repeat(counts[i : i + 1], len(lines), 0), counts, 80)[links].all()
     assert linked > 1.5 * len(lines)
+
+
+def test_line_dedup_runs_no_python_on_the_executors(spark, monkeypatch):
+    """Every table that line dedup writes, and its result, comes from DataFrame functions alone."""
+    from prismfold.llm import components, list_join
+
+    plans = []
+    for module in (line_dedup, list_join, components):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, *a, write=write: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label, *a))
+    line = prose(61, 30)
+    out = line_dedup.drop_lines(spark.createDataFrame([(1, line), (2, line + "s"), (3, line + "\n" + prose(62, 30))], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in out.collect()) == [(1, line, 0), (2, "", 1), (3, prose(62, 30), 1)]
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any(word in plan for plan in plans for word in ("InArrow", "InPandas", "EvalPython"))
