@@ -687,3 +687,11 @@ def test_line_dedup_runs_no_python_on_the_executors(spark, monkeypatch):
     assert sorted((r.doc_id, r.text, r.lines_removed) for r in out.collect()) == [(1, line, 0), (2, "", 1), (3, prose(62, 30), 1)]
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not any(word in plan for plan in plans for word in ("InArrow", "InPandas", "EvalPython"))
+
+
+def test_short_lines_at_the_threshold_meet(spark):
+    """Lines of four and five shingles that share four: each pair is found."""
+    r = random.Random(9)
+    lines = ["".join(chr(0x4E00 + r.randrange(2000)) for _ in range(9)) for _ in range(200)]
+    docs = spark.createDataFrame([(2 * i + k, t) for i, line in enumerate(lines) for k, t in enumerate((line, line[:8]))], "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed} == {2 * i + 1 for i in range(200)}
