@@ -695,3 +695,24 @@ def test_short_lines_at_the_threshold_meet(spark):
     lines = ["".join(chr(0x4E00 + r.randrange(2000)) for _ in range(9)) for _ in range(200)]
     docs = spark.createDataFrame([(2 * i + k, t) for i, line in enumerate(lines) for k, t in enumerate((line, line[:8]))], "doc_id long, text string")
     assert {x.doc_id for x in line_dedup.drop_lines(docs).collect() if x.lines_removed} == {2 * i + 1 for i in range(200)}
+
+
+def test_line_dedup_holds_no_table_that_nothing_reads(spark, monkeypatch):
+    """Signatures are gone before texts are written, and lists lie there once while pairs are verified."""
+    import os
+
+    from prismfold.llm import components, list_join
+    from prismfold.llm.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before, held = set(os.listdir(folder)), defaultdict(set)
+    now = lambda: {name.rsplit("-", 1)[0] for name in os.listdir(folder) if name not in before}
+    for module in (line_dedup, list_join, components):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, *a, write=write: held[label].update(now()) or write(df, label, *a))
+    rows = [(2 * i + k, one_changed(prose(70 + i, 30), 50, mark)) for i in range(20) for k, mark in enumerate("#%")]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect() if r.lines_removed} == {2 * i + 1 for i in range(20)}
+    assert "lines-signed" not in held["lines-texts"] and "lines-texts" in held["lines-links"]
+    assert not held["lines-links"] & {"lines-signed", "lines-shared", "lines-parities", "lines-told", "lines-open"}
+    assert not held["lines-gone"] & {"lines-texts", "lines-lists", "lines-pairs", "lines-near"}
